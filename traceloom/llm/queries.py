@@ -1,0 +1,69 @@
+"""Queries of the training-data operators, over whole tables and whole texts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from traceloom.llm import packing, repetition, runs, tokenize, top_n
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return top_n.top_guesses(_table(spark, sf, "named")).select("named_id")
+
+
+def p2_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return top_n.top_guesses(_table(spark, sf, "named"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.collapse_runs(_table(spark, sf, "traces"), least=3).select("trace_id", "first_seq", "last_seq")
+
+
+def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every effect stream with its runs collapsed, runs of one effect included."""
+    return runs.collapse_runs(_table(spark, sf, "traces"), least=1)
+
+
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenize.encode_ids(_table(spark, sf, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose decoded ids differ from their text; none for texts that are UTF-8."""
+    docs = _table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
+    back = tokenize.decode_ids(tokenize.encode_ids(_table(spark, sf, "documents")))
+    return docs.join(back, "doc_id").where("was <> text").select("doc_id")
+
+
+def _standard(spark: SparkSession, sf: str) -> int:
+    kinds = _table(spark, sf, "containers").where("container_kind = 'standard'")
+    return int(kinds.agg(F.max("capacity_tokens")).first()[0])
+
+
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf, "documents"), _standard(spark, sf))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    capacity = _standard(spark, sf)
+    return packing.fill_report(packing.pack_documents(_table(spark, sf, "documents"), capacity), capacity)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.repeated_documents(_table(spark, sf, "documents")).select("doc_id")
+
+
+def p9_measures(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.measure(_table(spark, sf, "documents"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
+    return dict(sorted(found.items(), key=lambda x: (x[0].split("_")[0], not x[0].endswith("_found"), x[0])))
