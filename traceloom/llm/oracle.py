@@ -1,5 +1,27 @@
 """SQL for the queries that SQL can express over whole tables."""
 
+P1_PAIRS = """
+WITH e AS (
+  SELECT id, "binary" AS b, sig, hash(sig) AS h FROM funcs WHERE len(sig) = 128 AND complexity >= 4 AND shingles > 0
+), p AS (
+  SELECT x.id AS x, y.id AS y, x.b AS xb, y.b AS yb,
+    len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) AS agree
+  FROM e x JOIN e y ON x.id < y.id
+)
+SELECT * FROM p WHERE agree >= 113
+"""
+
+P3_FOUND = """
+WITH e AS (
+  SELECT id, sig FROM funcs WHERE len(sig) = 128 AND complexity >= 4 AND shingles > 0
+), p AS (
+  SELECT x.id AS x, y.id AS y, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) AS agree FROM e x JOIN e y ON x.id <> y.id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY x ORDER BY agree DESC, y) AS k FROM p WHERE agree >= 90
+)
+SELECT x AS id, y AS neighbour_id FROM r WHERE k <= 5
+"""
+
 P2_RANKED = """
 WITH valid AS (
   SELECT target, entry, guess, from_binary, similarity + 0.0 AS similarity, min(named_id) AS named_id
@@ -50,6 +72,15 @@ SELECT doc_id FROM u WHERE 1 - len(list_distinct(u))::DOUBLE / len(u) >= 0.4
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"SELECT x AS id_a, y AS id_b FROM ({P1_PAIRS}) WHERE xb <> yb",
+        "p1_links": f"""
+            WITH p AS ({P1_PAIRS}), e AS (SELECT id, sig FROM funcs WHERE len(sig) = 128 AND complexity >= 4 AND shingles > 0),
+            l AS (SELECT i, count(*) AS n FROM (SELECT x AS i FROM p UNION ALL SELECT y FROM p) GROUP BY i)
+            SELECT id, min(id) OVER (PARTITION BY sig) AS class_id, coalesce(n, 0)::BIGINT AS links FROM e LEFT JOIN l ON l.i = e.id""",
+        "p1_class_pairs": f"""
+            WITH e AS (SELECT id, sig, min(id) OVER (PARTITION BY sig) AS rep FROM funcs WHERE len(sig) = 128 AND complexity >= 4 AND shingles > 0)
+            SELECT x AS rep_a, y AS rep_b, agree FROM ({P1_PAIRS}) WHERE agree < 128
+            AND x IN (SELECT rep FROM e) AND y IN (SELECT rep FROM e)""",
         "p2_found": f"SELECT named_id FROM ({P2_RANKED})",
         "p2_ranked": P2_RANKED,
         "p5_found": f"SELECT trace_id, first_seq, last_seq FROM ({P5_RUNS}) WHERE n_effects >= 3",

@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import packing, repetition, runs, tokenize, top_n
+from traceloom.llm import near_duplicates, neighbours, packing, repetition, runs, subsequences, tokenize, top_n
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(_table(spark, sf, "funcs"))
+
+
+def p1_class_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicate_class_pairs(_table(spark, sf, "funcs"))
+
+
+def p1_links(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicate_links(_table(spark, sf, "funcs"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n.top_guesses(_table(spark, sf, "named")).select("named_id")
 
@@ -22,6 +34,18 @@ def p2_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return top_n.top_guesses(_table(spark, sf, "named"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest_rows(_table(spark, sf, "funcs")).select("id", "neighbour_id")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subsequences.frequent_subsequences(_table(spark, sf, "traces")).select("pattern")
+
+
+def p4_supports(spark: SparkSession, sf: str) -> DataFrame:
+    return subsequences.frequent_subsequences(_table(spark, sf, "traces"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return runs.collapse_runs(_table(spark, sf, "traces"), least=3).select("trace_id", "first_seq", "last_seq")
 
