@@ -177,10 +177,16 @@ def branch_target(addr: Column, length: Column, code: Column) -> Column:
 
 def fill_word(base: Column, word: Column, seed: int) -> Column:
     """Deterministic content of the 8-byte word number ``word`` of a page at ``base``."""
-    x = H.wrap_add(H.wrap_add(base, F.shiftleft(word.cast("long"), 3)), F.lit(C.signed(seed * C.GOLDEN)))
-    for shift, factor in ((30, C.FILL_MUL_1), (27, C.FILL_MUL_2)):
-        x = H.wrap_mul(x.bitwiseXOR(F.shiftrightunsigned(x, shift)), factor)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+    seeded = H.wrap_add(H.wrap_add(base, F.shiftleft(word.cast("long"), 3)), F.lit(C.signed(seed * C.GOLDEN)))
+
+    def shifted(x: Column, n: int) -> Column:
+        return x.bitwiseXOR(F.shiftrightunsigned(x, n))
+
+    # every stage is bound once; inlined, each would be repeated in all places of the next
+    def second(x: Column) -> Column:
+        return let(shifted(x, 27), lambda y: let(H.wrap_mul(y, C.FILL_MUL_2), lambda z: shifted(z, 31)))
+
+    return let(seeded, lambda x: let(shifted(x, 30), lambda y: let(H.wrap_mul(y, C.FILL_MUL_1), second)))
 
 
 def call_result(counter: Column) -> Column:
