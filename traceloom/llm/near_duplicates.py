@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.binding import let
+from traceloom.operators.shared import materialize
 
 SLOTS = 128
 MIN_AGREE = 113
@@ -199,3 +200,40 @@ def near_duplicate_class_pairs(funcs: DataFrame, min_agree: int = MIN_AGREE) ->
     two = reps.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("rep").alias("y"))
     both = pairs.join(one, ["a1", "a2"]).join(two, ["b1", "b2"])
     return both.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "agree")
+
+
+def near_duplicate_groups(funcs: DataFrame, min_agree: int = MIN_AGREE) -> DataFrame:
+    """One row per eligible row: ``id``, ``class_id`` and ``group_id``, the smallest id that a chain of links leads to.
+
+    Components of the graph of classes by large-star and small-star steps: every round links each node's larger, then
+    all of its neighbours to the smallest one known, which halves the height of every tree. Rounds are written to the
+    shared folder and end when the edges no longer change; nothing but their number and a checksum reaches the driver.
+    """
+    classes, pairs = class_pairs(funcs, min_agree)
+    reps = materialize(classes.select("h1", "h2", "rep"), "reps")
+    one = reps.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("rep").alias("x"))
+    two = reps.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("rep").alias("y"))
+    links = pairs.join(one, ["a1", "a2"]).join(two, ["b1", "b2"]).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+
+    def star(edges: DataFrame, large: bool) -> DataFrame:
+        """Neighbours of each node move to the smallest of its neighbourhood: larger ones, or itself and smaller ones."""
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        moved = both.join(least, "u")
+        if large:
+            out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        else:
+            out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        return out.where("u > v").distinct()
+
+    sum_of = F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))
+    edges, last = materialize(links.distinct(), "links"), None
+    while True:
+        mark = edges.agg(F.count("*"), sum_of).first()
+        if mark == last:
+            break
+        edges, last = materialize(star(star(edges, True), False), "links"), mark
+    roots = reps.join(edges.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
+    roots = roots.select("h1", "h2", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"))
+    rows = with_digest(eligible(funcs).select("id", "sig")).select("h1", "h2", "id")
+    return rows.join(roots, ["h1", "h2"]).select("id", "class_id", "group_id")

@@ -26,7 +26,8 @@ from traceloom.operators.shared import materialize
 CENTROIDS = 8192
 PER_CENTROID = 48
 DEGREE = 24
-PIVOTS = 512
+PIVOTS = 384
+SEED_SLOTS = 3
 LISTS = 5
 RATIO = 2.0
 BEAM = 32
@@ -61,7 +62,11 @@ def _full(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    """Centroids (one plane of bytes), their nearest-neighbour graph and the pivots where a walk may start."""
+    """Centroids (one plane of bytes), their nearest-neighbour graph and the places where a walk may start.
+
+    A walk starts from the best of a fixed set of pivots and from one centroid for each run of three slots that it has
+    in common with the query.
+    """
 
     def __init__(self, centroids: np.ndarray, degree: int = DEGREE, pivots: int = PIVOTS):
         self.c = np.ascontiguousarray(centroids[:, :SLOTS])
@@ -70,6 +75,23 @@ class Graph:
         self.flat = n <= pivots
         if not self.flat:
             self.links = self._nearest(min(degree, n - 1))
+            keys = self._runs(self.c)
+            self.order = np.argsort(keys, axis=0, kind="stable")
+            self.keys = np.take_along_axis(keys, self.order, 0)
+
+    @staticmethod
+    def _runs(c: np.ndarray) -> np.ndarray:
+        runs = c[:, : SLOTS // SEED_SLOTS * SEED_SLOTS].reshape(len(c), -1, SEED_SLOTS).astype(np.int32)
+        return runs[:, :, 0] | runs[:, :, 1] << 8 | runs[:, :, 2] << 16
+
+    def _seeds(self, q: np.ndarray) -> np.ndarray:
+        """A centroid that shares the run of slots, per query and run; -1 where none does."""
+        wanted, out = self._runs(q), np.full((len(q), self.keys.shape[1]), -1)
+        for r in range(out.shape[1]):
+            at = np.minimum(np.searchsorted(self.keys[:, r], wanted[:, r]), len(self.c) - 1)
+            hit = self.keys[at, r] == wanted[:, r]
+            out[hit, r] = self.order[at[hit], r]
+        return out
 
     def _nearest(self, degree: int) -> np.ndarray:
         """Approximately nearest centroids of each: sign projections of the slots turn agreement into a dot product."""
@@ -97,6 +119,12 @@ class Graph:
         # a place in the pool is agreement * size + (size - 1 - centroid): higher agreement first, then the smaller number
         scores = agreement(q[:, None, :], self.c[self.pivots][None, :, :]).astype(np.int64)
         pool = scores * size + (size - 1 - self.pivots)
+        if not self.flat:
+            seeds = self._seeds(q)
+            score = agreement(q[:, None, :], self.c[seeds]).astype(np.int64)
+            pool = np.concatenate([pool, np.where(seeds >= 0, score * size + (size - 1 - seeds), -1)], axis=1)
+        pool = -np.sort(-pool, axis=1)
+        pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
         pool = -np.sort(-pool, axis=1)[:, :beam]
         if not self.flat:
             open_ = np.ones(pool.shape, bool)

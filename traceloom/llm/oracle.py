@@ -22,6 +22,14 @@ WITH e AS (
 SELECT x AS id, y AS neighbour_id FROM r WHERE k <= 5
 """
 
+P1_GROUPS = f"""
+WITH RECURSIVE n AS (SELECT id, min(id) OVER (PARTITION BY sig) AS class_id FROM funcs WHERE len(sig) = 128 AND complexity >= 4 AND shingles > 0),
+p AS MATERIALIZED ({P1_PAIRS}),
+l AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b)
+SELECT n.id, n.class_id, g.group_id FROM n JOIN (SELECT a, min(b) AS group_id FROM r GROUP BY a) g ON g.a = n.id
+"""
+
 P2_RANKED = """
 WITH valid AS (
   SELECT target, entry, guess, from_binary, similarity + 0.0 AS similarity, min(named_id) AS named_id
@@ -36,6 +44,27 @@ WITH valid AS (
 SELECT target, entry, named_id, similarity, guess, from_binary, "rank"::INTEGER AS "rank" FROM ranked WHERE "rank" <= 3
 """
 
+_FREQUENT = "(SELECT p FROM l{k} JOIN traces USING (trace_id) GROUP BY p HAVING count(DISTINCT func_id) >= (SELECT least FROM bound))"
+_LONGER = """
+l{n} AS MATERIALIZED (
+  SELECT l.trace_id, l.p || ' > ' || s.step AS p, min(s.seq) AS e FROM l{k} l JOIN s ON s.trace_id = l.trace_id AND s.seq > l.e
+  WHERE l.p IN {frequent} GROUP BY ALL
+)"""
+P4_SUPPORTS = f"""
+WITH bound AS (SELECT greatest(10, ceil(0.025 * count(DISTINCT func_id) - 1e-9)) AS least FROM traces),
+e0 AS (SELECT trace_id, unnest(effects) AS x FROM traces),
+e1 AS (SELECT trace_id, x.seq AS seq, any_value(x) AS x FROM e0 WHERE x.seq IS NOT NULL GROUP BY ALL),
+s0 AS (
+  SELECT trace_id, seq, CASE WHEN x.kind = 'call' THEN x.sym ELSE 'sys:' || x.nr END AS step FROM e1
+  WHERE (x.kind = 'call' AND x.sym IS NOT NULL) OR (x.kind = 'syscall' AND x.nr IS NOT NULL)
+),
+l1 AS MATERIALIZED (SELECT trace_id, step AS p, min(seq) AS e FROM s0 GROUP BY ALL),
+s AS MATERIALIZED (SELECT * FROM s0 WHERE step IN {_FREQUENT.format(k=1)}),
+{",".join(_LONGER.format(n=n, k=n - 1, frequent=_FREQUENT.format(k=n - 1)) for n in (2, 3, 4))}
+SELECT p AS pattern, count(DISTINCT func_id) AS support FROM (SELECT * FROM l3 UNION ALL SELECT * FROM l4) JOIN traces USING (trace_id)
+GROUP BY p HAVING count(DISTINCT func_id) >= (SELECT least FROM bound)
+"""
+
 P5_RUNS = """
 WITH e AS (
   SELECT trace_id, unnest(effects) AS x FROM traces
@@ -81,6 +110,10 @@ def oracle_sql() -> dict[str, str]:
             WITH e AS (SELECT id, sig, min(id) OVER (PARTITION BY sig) AS rep FROM funcs WHERE len(sig) = 128 AND complexity >= 4 AND shingles > 0)
             SELECT x AS rep_a, y AS rep_b, agree FROM ({P1_PAIRS}) WHERE agree < 128
             AND x IN (SELECT rep FROM e) AND y IN (SELECT rep FROM e)""",
+        "p1_groups": P1_GROUPS,
+        "p3_found": P3_FOUND,
+        "p4_found": f"SELECT pattern FROM ({P4_SUPPORTS})",
+        "p4_supports": P4_SUPPORTS,
         "p2_found": f"SELECT named_id FROM ({P2_RANKED})",
         "p2_ranked": P2_RANKED,
         "p5_found": f"SELECT trace_id, first_seq, last_seq FROM ({P5_RUNS}) WHERE n_effects >= 3",

@@ -26,6 +26,10 @@ def p1_links(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_duplicate_links(_table(spark, sf, "funcs"))
 
 
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(_table(spark, sf, "funcs"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n.top_guesses(_table(spark, sf, "named")).select("named_id")
 
