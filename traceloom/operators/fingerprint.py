@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from traceloom import constants as C
 from traceloom.functions import effects as E
 from traceloom.functions import signature as S
+from traceloom.operators.shared import spread
 
 _FIELDS = ("seq", "kind", "region", "region_k", "off", "val", "val_k", "sym", "nr")
 _TEXT = ("kind", "region", "val", "sym")
@@ -71,6 +72,7 @@ def trace_shingles(traces: DataFrame, key: str = "func_id") -> DataFrame:
 
     fields = [F.col(f"effects.{k}").alias(k) for k in _FIELDS]
     rows = traces.select(F.col(key).alias("_key"), F.coalesce("capped", F.lit(False)).alias("capped"), *fields)
+    rows = rows if rows.isStreaming else spread(rows)
     kind = rows.schema["_key"].dataType.simpleString()
     out = rows.mapInArrow(run, f"_key {kind}, complexity bigint, capped boolean, shingles array<bigint>")
     return out.withColumnRenamed("_key", key)

@@ -34,3 +34,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/traceloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as the cluster has cores, if its scan gives fewer.
+
+    For work that costs far more per row than moving the row: one small file would keep all of it on one core. Inputs
+    that fill the cluster by themselves aren't moved, nor are those that a shuffle has already spread.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    planned = df._jdf.queryExecution()
+    if "Exchange" in planned.executedPlan().toString():
+        return df
+    return df.repartition(cores) if planned.toRdd().getNumPartitions() < cores else df
