@@ -238,6 +238,6 @@ def test_measures(spark):
     assert (b.n_words, b.line_share, b.symbol_ratio, b.window_share) == (0, 0.0, 0.0, 0.0)
 
 
-def test_measures_need_no_shuffle_and_no_python(spark):
+def test_measures_need_no_shuffle_by_key_and_no_python(spark):
     plan = R.measure(spark.read.parquet(f"{DATA}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+    assert "hashpartitioning" not in plan and "Python" not in plan and "Arrow" not in plan

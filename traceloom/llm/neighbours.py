@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.near_duplicates import SLOTS, eligible, with_digest
-from traceloom.operators.shared import materialize
+from traceloom.operators.shared import materialize, spread
 
 #: Bound of the sample that the index is fitted on.
 CENTROIDS = 8192
@@ -221,7 +221,7 @@ def _best(x: np.ndarray, y: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int)
 
 
 def _coded(funcs: DataFrame) -> DataFrame:
-    rows = with_digest(eligible(funcs).select(F.col("id").cast("long").alias("id"), "sig")).select("h1", "h2", "id", "sig")
+    rows = with_digest(spread(eligible(funcs).select(F.col("id").cast("long").alias("id"), "sig"))).select("h1", "h2", "id", "sig")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

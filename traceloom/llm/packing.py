@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from traceloom.llm.tokenize import count_tokens
 from traceloom.operators.shared import materialize
 
-BUCKETS = 128
+BUCKETS = 256
 LEVELS = 2048
 PART_ITEMS = 200_000
 

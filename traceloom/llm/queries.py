@@ -79,7 +79,7 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), _standard(spark, sf))
 
 
-def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     capacity = _standard(spark, sf)
     return packing.fill_report(packing.pack_documents(_table(spark, sf, "documents"), capacity), capacity)
 

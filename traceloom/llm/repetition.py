@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.binding import let
+from traceloom.operators.shared import spread
 
 # The white space between words, the letters that are lowered, common English function words.
 SPACE = "[ \t\n\r]+"
@@ -94,7 +95,8 @@ MEASURES = {
 
 
 def measure(docs: DataFrame, rules: tuple[Threshold, ...] = QUALITY, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Measures and broken rules of every document: the table becomes one projection over one scan, without shuffle or user function.
+    """Measures and broken rules of every document: the table becomes one projection over one scan, without
+    user function or shuffle by key.
 
     Returns ``id_col``, one column per measure in ``rules`` and ``broken`` (names of the rules that the document breaks,
     in the table's order). Units are lines, paragraphs and sentences (trimmed, empty ones left out) and windows of five
@@ -113,7 +115,8 @@ def measure(docs: DataFrame, rules: tuple[Threshold, ...] = QUALITY, text: str =
             ),
         )
 
-    judged = docs.select(F.col(id_col).alias("_id"), let(F.coalesce(F.col(text), F.lit("")), judge).alias("_m"))
+    rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")))
+    judged = rows.select("_id", let(F.coalesce(F.col("_text"), F.lit("")), judge).alias("_m"))
     return judged.select(F.col("_id").alias(id_col), *(F.col(f"_m.{n}").alias(n) for n in names), F.col("_m.broken").alias("broken"))
 
 

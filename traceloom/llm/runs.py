@@ -1,6 +1,6 @@
 """Repeated consecutive events in sequences (problem 5): boundary interval lookup.
 
-A trace is one row, so nothing is shuffled. In each Arrow batch the effects of all traces lie in flat arrays; the places
+A trace is one row, so nothing is shuffled (a scan of few partitions is spread over the cores first). In each Arrow batch the effects of all traces lie in flat arrays; the places
 where a run starts form one sorted array, each effect finds its run by binary search in it, and runs are aggregated.
 """
 
@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.operators.shared import spread
+
 #: Fields that must agree for effects to be nearly equal; ``off`` and ``val_k`` may differ.
 SAME = ("kind", "region", "region_k", "val", "sym", "nr")
 
@@ -74,7 +76,7 @@ def collapse_runs(traces: DataFrame, least: int = 1, id_col: str = "trace_id") -
 
     names = ("seq", "ic", *SAME)
     # field by field, so that only these fields are read
-    rows = traces.select(F.col(id_col).alias("_id"), *(F.col(f"effects.{c}").alias(c) for c in names))
+    rows = spread(traces.select(F.col(id_col).alias("_id"), *(F.col(f"effects.{c}").alias(c) for c in names)))
     inner = {f.name: f.dataType.simpleString() for f in traces.schema["effects"].dataType.elementType}
     fields = ", ".join(f"{c} {inner[c]}" for c in SAME)
     kind = rows.schema["_id"].dataType.simpleString()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.binding import let
-from traceloom.operators.shared import materialize
+from traceloom.operators.shared import materialize, spread
 
 PART_ENTITIES = 8192
 #: An entity with more distinct sequences than this is cut into chunks.
@@ -180,7 +180,7 @@ def frequent_subsequences(
     traces = traces.where(F.col("func_id").isNotNull())
     total = traces.select("func_id").distinct().count()
     least = max(at_least, math.ceil(share * total - 1e-9), 1)
-    sequences = materialize(step_sequences(traces), "steps")
+    sequences = materialize(step_sequences(spread(traces.select("func_id", "effects"))), "steps")
 
     # An entity of at most L distinct steps adds L to all supports together, so at most L / share steps are frequent.
     shown = sequences.select("func_id", F.explode(F.array_distinct("steps")).alias("step")).distinct()

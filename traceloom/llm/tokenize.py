@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.operators.shared import spread
+
 # The pretoken pattern of the byte-level vocabularies for ASCII text, and a line end that is a token of its own.
 ASCII_PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 SAFE_CUT = r"(?<=[!-~]\n)(?=[!-~])"
@@ -113,7 +115,7 @@ def encode_ids(docs: DataFrame, path: str | None = None, text: str = "text", id_
     """``id_col`` and ``ids`` (list of int32) of every row, without special tokens.
 
     Null and empty texts have the empty list; blank ones are encoded like any other; texts of any length are encoded
-    whole; every input row gives a row; further columns are left out. No shuffle.
+    whole; every input row gives a row; further columns are left out. No shuffle beyond spreading a small scan.
     """
     path = path or tokenizer_path()
 
@@ -127,7 +129,7 @@ def encode_ids(docs: DataFrame, path: str | None = None, text: str = "text", id_
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(parts)), ids], ["_id", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")))
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
@@ -143,7 +145,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", i
                 sizes = pa.array([len(p) // 4 for p in enc.encode(texts)], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(sizes)), sizes], ["_id", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")))
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {kind}, n_tokens bigint").withColumnRenamed("_id", id_col)
 
@@ -166,7 +168,7 @@ def encode_offsets(docs: DataFrame, path: str | None = None, text: str = "text",
                 hi = pa.array([[s for _, s in e.offsets] for e in encs], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(encs)), ids, lo, hi], ["_id", "ids", "starts", "ends"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")))
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {kind}, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("_id", id_col)
 
