@@ -150,3 +150,35 @@ def test_stale_and_missing_bands(spark):
     stored = good.where("band > 1").union(good.where("band = 2")).union(spark.createDataFrame([(1, 0, 5), (77, 1, 9)], "func_id bigint, band int, key bigint"))
     assert {(r.func_id, r.band) for r in K.stale_bands(f, stored).collect()} == {(1, 0), (77, 1)}
     assert {r.band for r in K.missing_bands(f, stored).collect()} == {0, 1}
+
+
+def test_blocks_and_shares(spark):
+    import random
+
+    from traceloom.operators.blocks import against_all
+
+    rng = random.Random(1)
+    sigs = lambda n: [[rng.randrange(3) for _ in range(128)] for _ in range(n)]
+    qs, rs = sigs(30), sigs(70)
+    rs[5] = rs[6] = qs[3]
+    queries = [(i, s, rng.randrange(30, 60), rng.randrange(100)) for i, s in enumerate(qs)]
+    rows = [(i * 2 - 20, s) for i, s in enumerate(rs)]
+    got = against_all(
+        spark.createDataFrame(queries, "q bigint, sig array<bigint>, bar int, bar_place bigint"), spark.createDataFrame(rows, "place bigint, sig array<bigint>"), 7, 20
+    )
+    want = {}
+    for q, s, bar, at in queries:
+        equal = [(sum(x == y for x, y in zip(s, t)), p) for p, t in rows]
+        top = min((-e, p) for e, p in equal)
+        want[q] = (sum(e > bar or (e == bar and p < at) for e, p in equal), -top[0], top[1])
+    assert {r.q: (r.ahead, r.top_equal, r.top_place) for r in got.collect()} == want
+
+
+def test_shared_tables(spark):
+    from traceloom.operators.shared import materialize, release, shared_dir
+
+    kept = materialize(spark.range(5).withColumn("x", F.lit("a")), "t")
+    assert kept.count() == 5 and kept.inputFiles()[0].startswith(shared_dir(spark))
+    release(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()

@@ -124,6 +124,8 @@ def test_read_files(spark, tmp_path):
         rows = traces(spark, [(1, 1, BASE, False)]).select("effects", "capped")
         return made.crossJoin(rows)
 
+    failed = index.failed_runs(spark.createDataFrame([(5,)], "func_id bigint"))
+    assert failed.first().effects[0].kind == "capped" and failed.first().capped
     made = index.index_files(spark, str(tmp_path), provider, strict=False).collect()
     assert [(r.name, r.shingles, r.complexity) for r in made] == [("f", 22, 22)]
 

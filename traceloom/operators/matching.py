@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from traceloom import constants as C
 from traceloom.functions.signature import equal_slots
+from traceloom.operators.blocks import against_all
 from traceloom.operators.corpus import derive_bands, has_signal, is_known, well_formed
 
 
@@ -38,17 +39,6 @@ def without_candidate(target: DataFrame, corpus: DataFrame) -> DataFrame:
     return target.join(hit, "id", "left_anti")
 
 
-def slot_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``l, r, equal``: the agreeing slots of all pairs that agree in at least one, by an equi-join on (slot, value).
-
-    Pairs that are missing agree in none. ``left`` and ``right`` have ``id, sig``. This is a comparison of everything with
-    everything without a cross join: work arises only where slots agree.
-    """
-    one = left.select(F.col("id").alias("l"), F.posexplode("sig").alias("slot", "value"))
-    two = right.select(F.col("id").alias("r"), F.posexplode("sig").alias("slot", "value"))
-    return one.join(two, ["slot", "value"]).groupBy("l", "r").agg(F.count(F.lit(1)).cast("int").alias("equal"))
-
-
 def best_match(target: DataFrame, corpus: DataFrame) -> DataFrame:
     """For each row of ``target`` with enough signal its most similar known function of the corpus.
 
@@ -69,13 +59,12 @@ def best_match(target: DataFrame, corpus: DataFrame) -> DataFrame:
     scored = near.join(sig_t, "t").join(sig_c, "c").select("t", "c", equal_slots(F.col("sig_t"), F.col("sig_c")).alias("equal"))
 
     lost = without_candidate(seekers.select(F.col("rep").alias("id"), "sig"), corpus)
-    scanned = slot_overlap(lost, known.select(F.col("rep").alias("id"), "sig")).select(F.col("l").alias("t"), F.col("r").alias("c"), "equal")
-    # where nothing agrees the first known row wins with similarity 0
-    first = known.agg(F.min("rep").alias("c")).where(F.col("c").isNotNull())
-    none = lost.select(F.col("id").alias("t")).join(F.broadcast(first)).select("t", "c", F.lit(0).alias("equal"))
+    asked = lost.select(F.col("id").alias("q"), "sig", F.lit(C.SLOTS).alias("bar"), F.lit(0).alias("bar_place"))
+    scanned = against_all(asked, known.select(F.col("rep").alias("place"), "sig"))
+    scanned = scanned.select(F.col("q").alias("t"), F.col("top_place").alias("c"), F.col("top_equal").cast("int").alias("equal"))
 
     order = F.struct((-F.col("equal")).alias("e"), F.col("c"))
-    best = scored.unionByName(scanned).unionByName(none).groupBy("t").agg(F.min(order).alias("_b"))
+    best = scored.unionByName(scanned).groupBy("t").agg(F.min(order).alias("_b"))
     best = best.select("t", F.col("_b.c").alias("c"), (-F.col("_b.e")).alias("equal"))
     names = known.select(F.col("rep").alias("c"), F.col("name").alias("guess"), F.col("binary").alias("from_binary"))
     best = best.join(names, "c").join(seekers.select(F.col("rep").alias("t"), "h1", "h2"), "t")

@@ -31,7 +31,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Cuts the lineage, survives the loss of executors and lets several later jobs read one result.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/traceloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/traceloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,3 +47,10 @@ def spread(df: DataFrame) -> DataFrame:
     if "Exchange" in planned.executedPlan().toString():
         return df
     return df.repartition(cores) if planned.toRdd().getNumPartitions() < cores else df
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's tables in the shared folder; results that still read them must be finished."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/traceloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -53,3 +53,15 @@ def load_index(spark: SparkSession, path: str, provider: TraceProvider | None =
     if provider is None:
         return corpus.Corpus.read(spark, path).funcs
     return index_files(spark, path, provider)
+
+
+def failed_runs(functions: DataFrame) -> DataFrame:
+    """``func_id, effects, capped`` for functions whose run couldn't be set up: a single capped effect, which is still a
+    (short) fingerprint. For providers, to be united with the traces that they have."""
+    from traceloom.functions.effects import EFFECT
+
+    null = F.lit(None)
+    names = [x.split(":") for x in EFFECT[len("struct<") : -1].split(",")]
+    fields = {"seq": F.lit(0), "ic": F.lit(0), "kind": F.lit("capped")}
+    only = F.struct(*(fields.get(n, null).cast(t).alias(n) for n, t in names))
+    return functions.select("func_id", F.array(only).alias("effects"), F.lit(True).alias("capped"))

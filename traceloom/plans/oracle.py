@@ -221,9 +221,9 @@ x AS (
   UNION ALL SELECT run, step, 3, instret, CASE k % 7 WHEN 0 THEN 'call' WHEN 1 THEN 'branch' ELSE 'syscall' END, NULL, NULL, NULL, NULL, NULL,
     CASE WHEN k % 7 = 0 AND k % 2 = 0 THEN 'f' || (k % 11) END, CASE WHEN k % 7 = 2 THEN k % 330 END FROM kept WHERE acts
 )
-SELECT run, (row_number() OVER (PARTITION BY run ORDER BY step, i) - 1)::INTEGER AS seq, ic, kind, region, region_k, off, val, val_k, sym, nr FROM x
+SELECT run, (row_number() OVER (PARTITION BY run ORDER BY step, i) - 1)::INTEGER AS seq, ic::BIGINT AS ic, kind, region, region_k, off, val, val_k, sym, nr FROM x
 UNION ALL
-SELECT q.run, coalesce((SELECT count(*) FROM x WHERE x.run = q.run), 0)::INTEGER, coalesce((SELECT max(instret) FROM kept WHERE kept.run = q.run), 0), 'capped', NULL, NULL, NULL, NULL, NULL, NULL, NULL
+SELECT q.run, coalesce((SELECT count(*) FROM x WHERE x.run = q.run), 0)::INTEGER, coalesce((SELECT max(instret) FROM kept WHERE kept.run = q.run), 0)::BIGINT, 'capped', NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM (SELECT DISTINCT run FROM c WHERE stop IS NOT NULL OR spent) q
 """
 

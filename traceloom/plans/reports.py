@@ -9,9 +9,10 @@ from traceloom import constants as C
 from traceloom.functions import render
 from traceloom.functions.effects import in_order
 from traceloom.functions.hashing import unsigned_order
-from traceloom.functions.signature import similarity
+from traceloom.functions.signature import equal_slots, similarity
+from traceloom.operators.blocks import against_all
 from traceloom.operators.corpus import has_signal, is_known, well_formed
-from traceloom.operators.matching import best_match, slot_overlap
+from traceloom.operators.matching import best_match
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -121,43 +122,31 @@ def evaluate_ranks(a: DataFrame, b: DataFrame, order: str = "id") -> DataFrame:
     """Every named row of A with enough signal and a namesake in B, ranked against all of B by similarity.
 
     Returns ``id, name, rank, top_name, top_similarity``. Ties keep B's order (``order``); ``rank`` is the place of the first
-    namesake. Nothing is deduplicated. All of B is ranked without making all pairs: rows of B that agree in no slot
-    follow in their order, so their places are counted, not made.
+    namesake. Nothing is deduplicated. A is the query set and passes all of B in blocks.
     """
     rows_b = well_formed(b).where(is_known() & (F.col("shingles") > 0))
     rows_a = well_formed(a).where(is_known() & has_signal()).join(rows_b.select("name").distinct(), "name", "left_semi")
-    # place of every row of B in its order, without a global window
-    block = F.floor(F.col(order) / 65536).alias("_k")
-    places = rows_b.select(F.col("id").alias("r"), F.col("name").alias("name_b"), F.col(order).alias("pos"), block)
+    # place of every row of B in its order, without a global window over rows
+    rows_b = rows_b.select("id", "name", "sig", F.col(order).alias("pos"), F.floor(F.col(order) / 65536).alias("_k"))
     before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = places.groupBy("_k").count().select("_k", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_k").orderBy("pos", "r"))
-    places = places.withColumn("_i", inside).join(offsets, "_k").select("r", "name_b", (F.col("_before") + F.col("_i")).alias("place"))
-
-    pairs = slot_overlap(rows_a.select("id", "sig"), rows_b.select("id", "sig")).join(places, "r")
-    names_a = rows_a.select(F.col("id").alias("l"), "name")
-    twins = names_a.join(places, F.col("name") == F.col("name_b")).select("l", "r", F.col("place").alias("twin_place"))
-    twins = twins.join(pairs.select("l", "r", "equal"), ["l", "r"], "left").fillna(0, ["equal"])
-    best_twin = twins.groupBy("l").agg(F.min(F.struct((-F.col("equal")).alias("e"), F.col("twin_place").alias("p"))).alias("_t"))
-    best_twin = best_twin.select("l", (-F.col("_t.e")).alias("twin_equal"), F.col("_t.p").alias("twin_place"))
-
-    ranked = pairs.join(best_twin, "l")
-    ahead = (F.col("equal") > F.col("twin_equal")) | ((F.col("equal") == F.col("twin_equal")) & (F.col("place") < F.col("twin_place")))
-    sums = ranked.groupBy("l").agg(
-        F.count(F.when(ahead, True)).alias("ahead"),
-        # pairs that stand before the twin in B's order are counted among the rows that agree in none otherwise
-        F.count(F.when(F.col("place") < F.col("twin_place"), True)).alias("placed_before"),
-        F.count(F.lit(1)).alias("agreeing"),
-        F.min(F.struct((-F.col("equal")).alias("e"), F.col("place"), F.col("name_b"))).alias("_top"),
+    offsets = rows_b.groupBy("_k").count().select("_k", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_k").orderBy("pos", "id"))
+    places = rows_b.withColumn("_i", inside).join(offsets, "_k").select("name", "sig", (F.col("_before") + F.col("_i")).alias("place"))
+
+    # of namesakes with one signature the first can be the best
+    twins = places.groupBy("name", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), F.col("sig")).alias("h2")).agg(
+        F.min("place").alias("place"), F.any_value("sig").alias("twin_sig")
     )
-    first = places.agg(F.min_by("name_b", "place").alias("first_name"))
-    out = names_a.join(best_twin, "l").join(sums, "l", "left").join(F.broadcast(first))
-    unseen = F.col("agreeing") + F.col("twin_place") - 1 - F.col("placed_before")
-    out = out.fillna(0, ["ahead", "placed_before", "agreeing"])
-    rank = 1 + F.when(F.col("twin_equal") > 0, F.col("ahead")).otherwise(unseen)
-    top = F.coalesce(F.col("_top.name_b"), F.col("first_name"))
-    alike = F.coalesce(-F.col("_top.e"), F.lit(0)) / F.lit(C.SLOTS)
-    return out.select(F.col("l").alias("id"), "name", rank.alias("rank"), top.alias("top_name"), alike.alias("top_similarity"))
+    paired = rows_a.select("id", "name", "sig").join(twins, "name")
+    scored = paired.select("id", "place", equal_slots(F.col("sig"), F.col("twin_sig")).alias("equal"))
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("equal")).alias("e"), F.col("place").alias("p"))).alias("_t"))
+    best = best.select("id", (-F.col("_t.e")).alias("bar"), F.col("_t.p").alias("bar_place"))
+    asked = rows_a.select("id", "sig").join(best, "id").select(F.col("id").alias("q"), "sig", "bar", "bar_place")
+    seen = against_all(asked, places.select("place", "sig"))
+    named = seen.join(places.select(F.col("place").alias("top_place"), F.col("name").alias("top_name")), "top_place")
+    named = named.join(rows_a.select(F.col("id").alias("q"), "name"), "q")
+    alike = (F.col("top_equal") / F.lit(C.SLOTS)).alias("top_similarity")
+    return named.select(F.col("q").alias("id"), "name", (F.col("ahead") + 1).alias("rank"), "top_name", alike)
 
 
 def evaluate(ranks: DataFrame, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
