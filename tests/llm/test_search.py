@@ -32,7 +32,7 @@ def table(spark, rows):
 
 
 def brute_pairs(rows, least):
-    ok = [r for r in rows if r[4] is not None and len(r[4]) == 128 and (r[2] or 0) >= 4 and (r[3] or 0) > 0]
+    ok = [r for r in rows if r[0] is not None and r[4] is not None and len(r[4]) == 128 and None not in r[4] and (r[2] or 0) >= 4 and (r[3] or 0) > 0]
     sigs = np.array([r[4] for r in ok])
     out = {}
     for i in range(len(ok)):
@@ -48,7 +48,7 @@ def sample_rows(seed=0, groups=25, size=8, edits=20):
     sigs += [sigs[0]] * 6 + [sigs[8]] * 2
     rows = [(i, f"b{i % 4}", 5, 3, s) for i, s in enumerate(sigs)]
     k = len(rows)
-    rows += [(k, None, 5, 3, sigs[0]), (k + 1, "b9", None, 3, sigs[0]), (k + 2, "b9", 5, 0, sigs[0]), (k + 3, "b9", 5, 3, None), (k + 4, "b9", 5, 3, sigs[0][:50]), (k + 5, "b9", 3, 3, sigs[0])]
+    rows += [(k, None, 5, 3, sigs[0]), (k + 1, "b9", None, 3, sigs[0]), (k + 2, "b9", 5, 0, sigs[0]), (k + 3, "b9", 5, 3, None), (k + 4, "b9", 5, 3, sigs[0][:50]), (k + 5, "b9", 3, 3, sigs[0]), (None, "b9", 5, 3, sigs[0]), (k + 6, "b9", 5, 3, sigs[0][:127] + [None])]
     return rows
 
 
@@ -74,7 +74,7 @@ def test_links_and_class_pairs(spark):
     for a, b in pairs:
         links[a] += 1
         links[b] += 1
-    ok = {r[0]: tuple(r[4]) for r in rows if r[4] is not None and len(r[4]) == 128 and (r[2] or 0) >= 4 and r[3] > 0}
+    ok = {r[0]: tuple(r[4]) for r in rows if r[0] is not None and r[4] is not None and len(r[4]) == 128 and None not in r[4] and (r[2] or 0) >= 4 and r[3] > 0}
     first = {}
     for i in sorted(ok):
         first.setdefault(ok[i], i)
@@ -126,8 +126,8 @@ def brute_nearest(rows, k, least):
 
 def test_nearest_rows_with_copies_and_ties(spark):
     rows = sample_rows(6, groups=20, edits=30)
-    got = {(r.id, r.neighbour_id) for r in V.nearest_rows(table(spark, rows)).collect()}
-    assert got == brute_nearest(rows, 5, 90)  # few rows: every list is searched
+    got = {(r.id, r.neighbour_id) for r in V.nearest_rows(table(spark, rows + rows[:3])).collect()}
+    assert got == brute_nearest(rows, 5, 90)  # few rows: every list is searched; a row delivered twice is one neighbour
 
 
 def test_recall_on_the_table(spark):

@@ -26,8 +26,9 @@ HOT_SAMPLE = 16
 
 
 def eligible(funcs: DataFrame) -> DataFrame:
-    """Rows with a signature of 128 slots and enough signal. Null fields make a row ineligible."""
-    return funcs.where((F.size("sig") == SLOTS) & (F.col("complexity") >= 4) & (F.col("shingles") > 0))
+    """Rows with an id, a signature of 128 slots, none of them null, and enough signal. Null fields make a row ineligible."""
+    signal = (F.col("complexity") >= 4) & (F.col("shingles") > 0) & F.col("id").isNotNull()
+    return funcs.where(signal & (F.size("sig") == SLOTS) & ~F.exists("sig", lambda x: x.isNull()))
 
 
 def with_digest(rows: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def near_duplicate_pairs(funcs: DataFrame, min_agree: int = MIN_AGREE) -> DataFr
 
     Rows of one signature are one class during the search; the pairs of ids are made from pairs of classes (a class with
     itself included) only at the end. Null or short signatures, null complexity or shingles make a row ineligible; a
-    null ``binary`` differs from nothing, so such rows are in no pair. Rows repeated under one id pair with others once each.
+    null ``binary`` differs from nothing, so such rows are in no pair. A row delivered twice under one id pairs twice.
     Empty tables give no rows; further columns are left out.
     """
     classes, pairs = class_pairs(funcs, min_agree)

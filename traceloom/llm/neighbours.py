@@ -230,8 +230,6 @@ def _coded(funcs: DataFrame) -> DataFrame:
             blob = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer((np.arange(len(codes) + 1) * BYTES).astype(np.int32)), pa.py_buffer(codes.tobytes())])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), blob], ["h1", "h2", "id", "code"])
 
-    # a slot that is null can't be compared
-    rows = rows.where(~F.exists("sig", lambda x: x.isNull()))
     return rows.mapInArrow(code, "h1 bigint, h2 bigint, id bigint, code binary")
 
 
@@ -302,12 +300,13 @@ def nearest_rows(funcs: DataFrame, k: int = 5, least: int = 90, lists: int = LIS
     Rows of equal signature are one class in the search and neighbours with 128 agreeing slots; of each class only its
     ``k + 1`` smallest ids can be anyone's neighbours, so a class of any size stays small on the way. Different classes
     are found with the recall of the index (0.97 and more of the pairs; see the tests). Ineligible rows (null fields, other
-    lengths, null slots) take no part; rows without a neighbour give no row; an empty table gives none.
+    lengths, null slots) take no part; rows without a neighbour give no row; a row delivered twice under one id is one
+    neighbour and gives its rows twice; an empty table gives none.
     """
     coded = materialize(_coded(funcs), "codes")
     by_id = Window.partitionBy("h1", "h2").orderBy("id")
-    firsts = coded.select("h1", "h2", "id").withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= k + 1)
-    firsts = firsts.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.get("ids", F.lit(0)))
+    firsts = coded.select("h1", "h2", "id").withColumn("_r", F.dense_rank().over(by_id)).where(F.col("_r") <= k + 1)
+    firsts = firsts.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("rep", F.get("ids", F.lit(0)))
     classes = coded.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("code").alias("code"))
     edges = similar_classes(classes, _sample(coded, most), least, k, lists, ratio)
     own = firsts.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(SLOTS).alias("agree"))

@@ -108,7 +108,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, min(id) OVER (PARTITION BY sig) AS class_id, coalesce(n, 0)::BIGINT AS links FROM e LEFT JOIN l ON l.i = e.id""",
         "p1_class_pairs": f"""
             WITH e AS (SELECT id, sig, min(id) OVER (PARTITION BY sig) AS rep FROM funcs WHERE len(sig) = 128 AND complexity >= 4 AND shingles > 0)
-            SELECT x AS rep_a, y AS rep_b, agree FROM ({P1_PAIRS}) WHERE agree < 128
+            SELECT x AS rep_a, y AS rep_b, agree::INTEGER AS agree FROM ({P1_PAIRS}) WHERE agree < 128
             AND x IN (SELECT rep FROM e) AND y IN (SELECT rep FROM e)""",
         "p1_groups": P1_GROUPS,
         "p3_found": P3_FOUND,

@@ -24,6 +24,7 @@ from traceloom.functions.binding import let
 from traceloom.operators.shared import materialize, spread
 
 PART_ENTITIES = 8192
+PART_SEQUENCES = 400_000
 #: An entity with more distinct sequences than this is cut into chunks.
 CHUNK = 4096
 SEPARATOR = " > "
@@ -205,7 +206,7 @@ def frequent_subsequences(
     coded = materialize(coded, "codes")
     per = coded.groupBy("func_id").count()
     chunks = per.where(F.col("count") > CHUNK).select("func_id", F.ceil(F.col("count") / CHUNK).cast("int").alias("_n"))
-    size = per.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.col("count") / CHUNK)), F.lit(0))).first()
+    size = per.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.col("count") / CHUNK)), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
     entities = int(size[1])
     if not entities:
         return empty
@@ -214,7 +215,7 @@ def frequent_subsequences(
         coded = coded.join(chunks, "func_id", "left").select("func_id", chunk.alias("chunk"), "codes")
     else:
         coded = coded.select("func_id", F.lit(0).alias("chunk"), "codes")
-    parts = -(-entities // part_entities)
+    parts = max(-(-entities // part_entities), -(-int(size[2]) // PART_SEQUENCES))
     placed = coded.repartition(parts, "func_id", "chunk")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
