@@ -28,28 +28,51 @@ LEVELS = 2048
 PART_ITEMS = 200_000
 
 
+def _halvings(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All of range(n) in rounds of midpoints, each with the nearest places before and after it that came earlier."""
+    rounds, spans = [], [(-1, n)]
+    while spans := [(a, b) for a, b in spans if b - a > 1]:
+        mids = [(a + b) // 2 for a, b in spans]
+        rounds.append((np.array(mids), np.array([a for a, _ in spans]), np.array([b for _, b in spans])))
+        spans = [x for (a, b), m in zip(spans, mids) for x in ((a, m), (m, b))]
+    return rounds
+
+
 def length_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Upper bounds of at most ``buckets`` buckets that minimise the padding of every item to its bucket's bound."""
+    """Upper bounds of at most ``buckets`` buckets that minimise the padding of every item to its bucket's bound.
+
+    Dynamic program over the number of buckets. The best start of the last bucket never moves back as the end moves on,
+    so each round of midpoints only searches between the starts of its neighbours.
+    """
     n = len(lengths)
     if n <= buckets:
         return lengths.copy()
-    total = np.concatenate([[0], np.cumsum(counts)]).astype(float)
-    mass = np.concatenate([[0], np.cumsum(counts * lengths)]).astype(float)
-    # padding[i, j]: items of lengths[i..j] padded to lengths[j]
-    padding = lengths[None, :] * (total[None, 1:] - total[:-1, None]) - (mass[None, 1:] - mass[:-1, None])
-    padding[np.tril_indices(n, -1)] = np.inf
-    best, cut = padding[0].copy(), np.zeros((buckets, n), np.int32)
-    for k in range(1, buckets):
-        step = padding[1:] + best[:-1, None]
-        cut[k] = np.argmin(step, axis=0) + 1
-        best = np.minimum(best, step[cut[k] - 1, np.arange(n)])
-        # a column that doesn't gain from one more bucket keeps its former cut
-        same = best < step[cut[k] - 1, np.arange(n)]
-        cut[k][same] = cut[k - 1][same]
-    bounds, j, k = [], n - 1, buckets - 1
-    while j >= 0:
+    total = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    mass = np.concatenate([[0], np.cumsum(counts * lengths)]).astype(np.int64)
+    best = lengths * total[1:] - mass[1:]
+    cuts, rounds = [np.zeros(n, np.int64)], _halvings(n)
+    for _ in range(1, buckets):
+        before = np.concatenate([[0], best[:-1]])  # padding of what lies before a start
+        now, cut = best.copy(), np.zeros(n, np.int64)
+        for mid, left, right in rounds:
+            low = np.where(left >= 0, cut[np.maximum(left, 0)], 0)
+            high = np.minimum(np.where(right < n, cut[np.minimum(right, n - 1)], n - 1), mid)
+            size = high - low + 1
+            first = np.cumsum(size) - size
+            start = np.arange(size.sum()) - np.repeat(first - low, size)
+            end = np.repeat(mid, size)
+            cost = before[start] + lengths[end] * (total[end + 1] - total[start]) - (mass[end + 1] - mass[start])
+            least = np.minimum.reduceat(cost, first)
+            now[mid] = least
+            cut[mid] = np.minimum.reduceat(np.where(cost == np.repeat(least, size), start, n), first)
+        best = now
+        cuts.append(cut)
+    bounds, j = [], n - 1
+    for cut in reversed(cuts):
+        if j < 0:
+            break
         bounds.append(lengths[j])
-        j, k = int(cut[k][j]) - 1, max(k - 1, 0)
+        j = int(cut[j]) - 1
     return np.array(bounds[::-1])
 
 
