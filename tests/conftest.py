@@ -23,4 +23,7 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from traceloom.operators.shared import release
+
+    release(s)
     s.stop()
