@@ -191,9 +191,10 @@ def brute_patterns(rows, share, at_least, lengths=(3, 4)):
     return {p: len(w) for p, w in found.items() if len(w) >= least}
 
 
-@pytest.mark.parametrize(("part", "chunk"), [(10_000, 10_000), (7, 10_000), (7, 5)])
-def test_frequent_subsequences(spark, monkeypatch, part, chunk):
+@pytest.mark.parametrize(("part", "chunk", "short"), [(10_000, 10_000, 1 << 16), (7, 10_000, 1), (7, 5, 1 << 16)])
+def test_frequent_subsequences(spark, monkeypatch, part, chunk, short):
     monkeypatch.setattr(Q, "CHUNK", chunk)
+    monkeypatch.setattr(Q, "SHORT_CODES", short)
     rows = step_rows(np.random.default_rng(1), 40, 160, 12, 6)
     want = brute_patterns(rows, 0.1, 3)
     got = {r.pattern: r.support for r in Q.frequent_subsequences(spark.createDataFrame(rows, ROWS), 0.1, 3, part_entities=part).collect()}

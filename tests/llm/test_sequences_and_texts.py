@@ -1,6 +1,8 @@
+import json
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -102,28 +104,65 @@ def test_runs(spark, least):
 DOCS = "doc_id bigint, text string, ids string, _id int"
 
 
-def library(texts):
-    tok = T.load(T.tokenizer_path())
+NAMES = ("byte_bpe_50k", "word_bpe_49k")  # all public tokenizers whose file the library reads
+
+
+def text_of(name="byte_bpe_50k"):
+    return Path(T.tokenizer_path(name)).read_text(encoding="utf-8")
+
+
+def library(texts, name="byte_bpe_50k"):
+    tok = T.load(T.tokenizer_path(name))
     return [list(e.ids) for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 TEXTS = ["", " ", "\n\n a", "a\n b\n\nc  d", "<|endoftext|>", "é\nabc 'S 's", "it's don't'll 12ab  \t\n", "\x1c\x1f a\x0b\x0cb", "日本\nabc\r\nq", "a\n'x' b\ńb\n's", "👩‍👩‍👧\n a b", "x" * 5000, "a b\n" * 3000, "٣4½Ⅷ\nok", "﻿abc\u0085d"]
 
 
-def test_encoder_equals_the_library():
-    assert [np.frombuffer(b, np.int32).tolist() for b in T.Encoder(T.tokenizer_path()).encode(TEXTS)] == library(TEXTS)
+@pytest.mark.parametrize("name", NAMES)
+def test_encoder_equals_the_library(name):
+    texts = [*TEXTS, "I'LL", "'Tis O'Neil'S  DON'T", "a" * 300]
+    assert [np.frombuffer(b, np.int32).tolist() for b in T.Encoder(text_of(name)).encode(texts)] == library(texts, name)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_document_equals_the_library(spark, name):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r.doc_id: r.ids for r in T.encode_ids(docs, T.tokenizer_path(name)).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert got == {r.doc_id: ids for r, ids in zip(rows, library([r.text for r in rows], name))}
+
+
+def test_short_way_only_for_plain_byte_level():
+    plain, words = (json.loads(text_of(n)) for n in NAMES)
+    assert T.plain_byte_level(plain) and not T.plain_byte_level(words)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": plain["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}},
+                   {"model": plain["model"] | {"dropout": 0.1}}, {"model": plain["model"] | {"end_of_word_suffix": "</w>"}}, {"added_tokens": [{"special": False}]}):
+        assert not T.plain_byte_level(plain | change)
+
+
+def test_executors_need_no_file(spark, tmp_path):
+    path = tmp_path / "own.json"
+    path.write_text(text_of("word_bpe_49k"), encoding="utf-8")
+    ids = T.encode_ids(spark.createDataFrame([(1, "Hello  WORLD"), (2, None)], "doc_id bigint, text string"), str(path))
+    path.unlink()
+    assert {r.doc_id: r.ids for r in ids.collect()} == {1: library(["Hello  WORLD"], "word_bpe_49k")[0], 2: []}
+    back = T.decode_ids(ids, T.tokenizer_path("word_bpe_49k")).collect()
+    assert {r.doc_id: r.text for r in back} == {1: "hello world ", 2: ""}
+    spans = T.encode_offsets(spark.createDataFrame([(1, "Hello  WORLD")], "doc_id bigint, text string"), T.tokenizer_path("word_bpe_49k")).first()
+    assert (spans.starts[0], spans.ends[-1]) == (0, 12)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("\n\n \t'sabZ09.é")), max_size=60), max_size=5))
 def test_encoder_equals_the_library_on_any_text(texts):
-    assert [np.frombuffer(b, np.int32).tolist() for b in T.encoder(T.tokenizer_path()).encode(texts)] == library(texts)
+    assert [np.frombuffer(b, np.int32).tolist() for b in T.encoder(text_of()).encode(texts)] == library(texts)
 
 
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(T, "MEMO_ENTRIES", 5)
     monkeypatch.setattr(T, "MEMO_CHARS", 3)
-    enc, texts = T.Encoder(T.tokenizer_path()), ["alpha beta", "ab cd ef gh ij kl mn", "alpha"]
+    enc, texts = T.Encoder(text_of()), ["alpha beta", "ab cd ef gh ij kl mn", "alpha"]
     for t in texts * 2:
         assert np.frombuffer(enc.encode([t])[0], np.int32).tolist() == library([t])[0]
         assert len(enc.memo) <= 5 + 7
@@ -141,6 +180,8 @@ def test_round_trip_offsets_and_counts(spark):
         assert len(r.starts) == len(r.ends) == len(r.ids) and all(0 <= a <= b <= len(text) for a, b in zip(r.starts, r.ends))
         if text.isascii():
             assert "".join(text[a:b] for a, b in zip(r.starts, r.ends)) == text
+        if text:
+            assert r.starts[0] == 0 and r.ends[-1] == len(text) and all(b - 1 <= a <= b for a, b in zip(r.starts[1:], r.ends))
     cut = spark.createDataFrame([(1, library(["日"])[0][:1]), (2, [70000, -1]), (3, None)], "doc_id bigint, ids array<int>")
     assert {r.doc_id: r.text for r in T.decode_ids(cut).collect()} == {1: "�", 2: "��", 3: ""}
     assert T.encode_ids(docs.limit(0)).count() == 0
@@ -202,6 +243,12 @@ def test_pack_edges(spark):
     for r in big:
         load[r.container] = load.get(r.container, 0) + r.size
     assert sum(load.values()) == 200_008 and max(load.values()) <= 100_000
+    rules = lambda packed, docs: {r.rule: r.n for r in K.broken_rules(docs, packed, 20).collect()}
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id bigint")
+    fine = K.pack(spark.createDataFrame([(1, 45, 1, ""), (2, 20, 1, ""), (3, None, 1, "")], SIZED), 20)
+    assert rules(fine, docs) == {"documents": 3, "missing": 0, "cut_small": 0, "torn": 0, "overfull": 0}
+    bad = spark.createDataFrame([(1, 0, 0, 5, 0), (1, 1, 6, 5, 0), (2, 0, 0, 20, 0)], "doc_id bigint, piece int, start bigint, size bigint, container bigint")
+    assert rules(bad, docs) == {"documents": 3, "missing": 1, "cut_small": 1, "torn": 1, "overfull": 1}
     report = K.fill_report(K.pack(spark.createDataFrame([(1, 10, 1, ""), (2, 10, 1, "")], SIZED), 20), 20).first()
     assert (report.containers, report.items, report.fill) == (1, 2, 1.0)
 

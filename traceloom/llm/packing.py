@@ -1,8 +1,8 @@
 """Filling fixed-capacity containers (problem 8): optimal length buckets and token-budget batches.
 
 1. One pass sizes every text; the sizes are written to the shared folder, since two later steps read them.
-2. A dynamic program over the global histogram of sizes (bounded by the capacity, not by the data) chooses the bucket
-   boundaries that minimise padding.
+2. A dynamic program over the global histogram of sizes (at most one entry per size up to the capacity, whatever the data)
+   chooses the bucket boundaries that minimise padding.
 3. Batches are planned on the bucket counts alone: a batch opens in the bucket of the largest items left, takes as many
    of that bucket as its token budget allows and, with ``top_up``, spends what remains of the budget on the largest
    items of shorter buckets that fit. Equal batches are planned once with their number, so the plan stays small.
@@ -12,19 +12,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.tokenize import count_tokens
 from traceloom.operators.shared import materialize
 
 BUCKETS = 256
-LEVELS = 2048
 PART_ITEMS = 200_000
 
 
@@ -111,6 +110,11 @@ def plan_batches(bounds: np.ndarray, counts: np.ndarray, capacity: int, top_up:
     return Plan(*cols, base)
 
 
+def _table(values: Iterable[int]) -> Column:
+    """A constant array of numbers; one text literal that the optimizer folds, whatever its length."""
+    return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<int>")
+
+
 def pieces(sizes: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     """Items from sized texts: a text within the capacity is one item, a larger one is cut into full pieces and a rest."""
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"int((n_tokens - 1) div {capacity})"))))
@@ -124,17 +128,17 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", buckets: int =
 
     Returns one row per item: ``id_col``, ``piece`` (0 for uncut texts), ``start`` (first token), ``size`` (tokens),
     ``bucket`` (the bound it was planned with) and ``container``. A container's sizes add up to at most the capacity.
+    ``top_up=False`` keeps to the method in the strict sense: batches are formed inside one bucket only. With ``top_up`` a
+    batch that was opened in one bucket may spend the rest of its budget on items of shorter buckets.
     Texts of no tokens take no space: they are spread evenly over the containers, or share container 0 if there is no
     other. A null size counts as 0. Equal texts and repeated ids are items of their own. Empty input gives no rows.
     """
     spark = sizes.sparkSession
-    step = -(-capacity // LEVELS)
     sizes = sizes.select(id_col, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
     items = pieces(sizes, capacity, id_col)
-    level = F.expr(f"int(least({capacity}, (size + {step - 1}) div {step} * {step}))")
 
-    # at most LEVELS + 1 rows reach the driver, whatever the corpus
-    hist = dict(items.groupBy(level.alias("level")).count().toLocalIterator(prefetchPartitions=True))
+    # at most one row per size up to the capacity reaches the driver, whatever the corpus
+    hist = dict(items.groupBy(F.col("size").cast("int")).count().toLocalIterator(prefetchPartitions=True))
     lengths = np.array(sorted(x for x in hist if x > 0), np.int64)
     counts = np.array([hist[x] for x in lengths.tolist()], np.int64)
     bounds = length_buckets(lengths, counts, buckets) if len(lengths) else np.zeros(0, np.int64)
@@ -144,14 +148,11 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", buckets: int =
 
     total = sum(hist.values())
     parts = max(1, -(-total // PART_ITEMS))
-    bound_of = F.array(F.lit(0), *(F.lit(int(b)) for b in bounds))
-    bucket_no = np.zeros(capacity // step + 2, np.int64)
-    for x in range(1, len(bucket_no)):
-        bucket_no[x] = np.searchsorted(bounds, min(capacity, x * step)) + 1 if len(bounds) else 0
-    numbers = F.array(*(F.lit(int(b)) for b in bucket_no))
+    bound_of = _table([0, *bounds])
+    bucket_no = _table(np.where(np.arange(capacity + 1) > 0, np.searchsorted(bounds, np.arange(capacity + 1)) + 1, 0) if len(bounds) else [0])
     tagged = items.withColumns(
         {
-            "_b": F.get(numbers, F.expr(f"int((size + {step - 1}) div {step})")),
+            "_b": F.coalesce(F.get(bucket_no, F.col("size").cast("int")), F.lit(0)),
             "_p": F.pmod(F.xxhash64(id_col, "piece"), F.lit(parts)).cast("int"),
         }
     )
@@ -191,6 +192,23 @@ def pack_documents(docs: DataFrame, capacity: int, path: str | None = None, top_
     return pack(sizes, capacity, top_up=top_up)
 
 
+def broken_rules(docs: DataFrame, packed: DataFrame, capacity: int) -> DataFrame:
+    """``rule, n``: counts that show whether a packing is whole: ``documents`` (rows of ``docs``), ``missing`` (ids without an
+    item), ``overfull`` (containers over the capacity), ``cut_small`` (texts cut though they fit), ``torn`` (texts whose items
+    don't follow one another from token 0 on). All but the first should be 0. Ids are taken as unique."""
+    after = F.lead("start").over(Window.partitionBy("doc_id").orderBy("piece"))
+    torn = F.coalesce(after != F.col("start") + F.col("size"), F.lit(False)) | ((F.col("piece") == 0) & (F.col("start") != 0))
+    per = packed.withColumn("_torn", torn).groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("tokens"), F.bool_or("_torn").alias("torn"))
+    n = lambda test: F.count(F.when(test, True))
+    by_text = docs.select("doc_id").join(per, "doc_id", "left").agg(
+        F.count("*").alias("documents"), n(F.col("pieces").isNull()).alias("missing"),
+        n((F.col("pieces") > 1) & (F.col("tokens") <= capacity)).alias("cut_small"), n(F.col("torn")).alias("torn"),
+    )
+    by_container = packed.groupBy("container").agg(F.sum("size").alias("used")).agg(n(F.col("used") > capacity).alias("overfull"))
+    long = lambda row: row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("rule"), F.col(c).alias("n")) for c in row.columns))))
+    return long(by_text).unionByName(long(by_container))
+
+
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, items, tokens and the share of the capacity that is used."""
     by = packed.groupBy("container").agg(F.sum("size").alias("tokens"), F.count("*").alias("items"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import near_duplicates, neighbours, packing, repetition, runs, subsequences, tokenize, top_n
+from traceloom.operators.shared import materialize
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -63,6 +64,17 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode_ids(_table(spark, sf, "documents"))
 
 
+def p7_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document where its tokens begin and end in characters, and how many tokens don't follow the one before."""
+    spans = tokenize.encode_offsets(_table(spark, sf, "documents"))
+    # a token may begin inside the character that the one before ends in
+    gaps = F.filter(F.arrays_zip(F.slice("starts", 2, F.size("starts")).alias("a"), F.col("ends").alias("b")), lambda x: (x["a"] > x["b"]) | (x["a"] < x["b"] - 1))
+    zero = F.lit(0)
+    return spans.select(
+        "doc_id", F.coalesce(F.array_min("starts"), zero).alias("first_char"), F.coalesce(F.array_max("ends"), zero).cast("long").alias("last_char"), F.size(gaps).alias("gaps")
+    )
+
+
 def p7_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose decoded ids differ from their text; none for texts that are UTF-8."""
     docs = _table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
@@ -79,9 +91,25 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), _standard(spark, sf))
 
 
+def p8_in_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches formed strictly inside their buckets."""
+    return packing.pack_documents(_table(spark, sf, "documents"), _standard(spark, sf), top_up=False)
+
+
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
-    capacity = _standard(spark, sf)
-    return packing.fill_report(packing.pack_documents(_table(spark, sf, "documents"), capacity), capacity)
+    """Fill of the containers, with batches that top up from shorter buckets and strictly inside buckets."""
+    capacity, docs = _standard(spark, sf), _table(spark, sf, "documents")
+    sizes = materialize(tokenize.count_tokens(docs), "sizes")
+    both = [packing.fill_report(packing.pack(sizes, capacity, top_up=up), capacity).select(F.lit(name).alias("batches"), "*") for name, up in (("top_up", True), ("in_bucket", False))]
+    return both[0].unionByName(both[1])
+
+
+def p8_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of what a whole packing must not have, over both ways of batching."""
+    capacity, docs = _standard(spark, sf), _table(spark, sf, "documents")
+    sizes = materialize(tokenize.count_tokens(docs), "sizes")
+    both = [packing.broken_rules(docs, packing.pack(sizes, capacity, top_up=up), capacity).select(F.lit(name).alias("batches"), "*") for name, up in (("top_up", True), ("in_bucket", False))]
+    return both[0].unionByName(both[1])
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -27,6 +27,8 @@ PART_ENTITIES = 8192
 PART_SEQUENCES = 400_000
 #: An entity with more distinct sequences than this is cut into chunks.
 CHUNK = 4096
+#: Up to this many frequent steps a step is coded in two bytes, beyond it in four.
+SHORT_CODES = 1 << 16
 SEPARATOR = " > "
 
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -154,12 +156,12 @@ def step_sequences(traces: DataFrame) -> DataFrame:
     return steps.where(F.size("steps") > 0)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _gather(batches: Iterator[pa.RecordBatch], kind: type) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     entities, chunks, seqs = [], [], []
     for b in batches:
         entities.append(b.column(0).to_numpy(zero_copy_only=False))
         chunks.append(b.column(1).to_numpy(zero_copy_only=False))
-        seqs += [np.frombuffer(x, np.uint16) for x in b.column(2).to_pylist()]
+        seqs += [np.frombuffer(x, kind) for x in b.column(2).to_pylist()]
     if not seqs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), []
     return np.concatenate(entities), np.concatenate(chunks), seqs
@@ -190,15 +192,14 @@ def frequent_subsequences(
     if not steps:
         return empty
     code_of = {s: i for i, s in enumerate(steps)}
-    if len(steps) > 65535:
-        raise ValueError("more than 65535 frequent steps: raise the share")
+    kind = np.uint16 if len(steps) <= SHORT_CODES else np.uint32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(1)
             codes = np.array([code_of.get(s, -1) for s in lists.flatten().to_pylist()], np.int32)
             ends = np.cumsum([0, *(len(x) for x in lists)])
-            keep = [codes[i:j][codes[i:j] >= 0].astype(np.uint16) for i, j in zip(ends, ends[1:])]
+            keep = [codes[i:j][codes[i:j] >= 0].astype(kind) for i, j in zip(ends, ends[1:])]
             long = [k for k, s in enumerate(keep) if len(s) >= shortest]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(long, pa.int64())), pa.array([keep[k].tobytes() for k in long], pa.binary())], ["func_id", "codes"])
 
@@ -219,14 +220,14 @@ def frequent_subsequences(
     placed = coded.repartition(parts, "func_id", "chunk")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        who, chunk, seqs = _gather(batches)
+        who, chunk, seqs = _gather(batches, kind)
         if not seqs:
             return
         here = len(np.unique(np.stack([who, chunk]), axis=1).T)
         bound = max(1, math.ceil(least * here / entities - 1e-9)) if parts > 1 else least
         found = list(mine(Bitmaps(who, seqs), bound, shortest, longest))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([np.array(p, np.uint16).tobytes() for p, _ in found], pa.binary()), pa.array([len(w) for _, w in found], pa.int64())], ["codes", "n"]
+            [pa.array([np.array(p, kind).tobytes() for p, _ in found], pa.binary()), pa.array([len(w) for _, w in found], pa.int64())], ["codes", "n"]
         )
 
     mined = placed.mapInArrow(local, "codes binary, n bigint")
@@ -234,17 +235,17 @@ def frequent_subsequences(
         counted = mined.select("codes", F.col("n").alias("support"))
     else:
         # candidates reach their share in some part: as many as the parts' frequent patterns, whatever the corpus's size
-        candidates = [tuple(np.frombuffer(r.codes, np.uint16).tolist()) for r in mined.select("codes").distinct().toLocalIterator()]
+        candidates = [tuple(np.frombuffer(r.codes, kind).tolist()) for r in mined.select("codes").distinct().toLocalIterator()]
         allowed = dict(_prefixes(candidates))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            who, chunk, seqs = _gather(batches)
+            who, chunk, seqs = _gather(batches, kind)
             if not seqs:
                 return
             cut = np.unique(who[chunk > 0])
             out = {"codes": [], "n": [], "func_id": []}
             for p, w in mine(Bitmaps(who, seqs), 1, shortest, longest, allowed):
-                code, shared = np.array(p, np.uint16).tobytes(), np.intersect1d(w, cut)
+                code, shared = np.array(p, kind).tobytes(), np.intersect1d(w, cut)
                 for n, f in [(len(w) - len(shared), None), *((0, int(f)) for f in shared)]:
                     out["codes"].append(code)
                     out["n"].append(n)
@@ -257,7 +258,7 @@ def frequent_subsequences(
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [SEPARATOR.join(steps[k] for k in np.frombuffer(c, np.uint16)) for c in b.column(0).to_pylist()]
+            text = [SEPARATOR.join(steps[k] for k in np.frombuffer(c, kind)) for c in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), b.column(1)], ["pattern", "support"])
 
     return counted.where(F.col("support") >= least).mapInArrow(names, "pattern string, support bigint")
