@@ -50,10 +50,20 @@ def test_top_n_empty(spark):
     assert N.top_guesses(spark.createDataFrame([], NAMED)).count() == 0
 
 
+def test_survivors_are_bounded(spark):
+    # a group of copies of its best item, and one of very many items
+    rows = spark.range(60_000).selectExpr("id AS named_id", "'t' AS target", "1L AS entry", "'best' AS guess", "'b' AS from_binary", "1.0D AS similarity")
+    many = spark.range(60_000).selectExpr("id + 60000 AS named_id", "'u' AS target", "1L AS entry", "concat('g', id) AS guess", "'b' AS from_binary", "(id % 128) / 128 AS similarity")
+    left = N._survivors(rows.unionByName(many), ["target", "entry"], "similarity", ["guess", "from_binary"], "named_id", 3, None, 16).groupBy("target").count()
+    assert {r.target: r["count"] for r in left.collect()} == {"t": 1, "u": 3 * 16}
+    assert [r.named_id for r in N.top_guesses(rows).collect()] == [0]
+
+
 def test_limit_is_applied_before_the_shuffle(spark):
     plan = N.top_guesses(spark.read.parquet(f"{DATA}/named.parquet"))._jdf.queryExecution().executedPlan().toString()
-    below = plan[plan.rindex("Exchange hashpartitioning") :]
-    assert "WindowGroupLimit" in below and "Partial" in below
+    # copies are dropped in the map tasks, and no more than n items a subgroup leave a task
+    assert "partial_min" in plan[plan.rindex("Exchange hashpartitioning") :]
+    assert all("WindowGroupLimit" in part for part in plan.split("Exchange hashpartitioning")[1:3])
 
 
 # ---- runs ------------------------------------------------------------------------------------------------------------
@@ -99,6 +109,33 @@ def test_runs(spark, least):
     assert U.collapse_runs(spark.createDataFrame([], TRACES), least).count() == 0
 
 
+EVENTS = "trace_id bigint, seq int, ic bigint, kind string, region string, region_k int, val string, sym string, nr bigint, first_seq string, _id string"
+
+
+@pytest.mark.parametrize(("least", "chunks"), [(1, 1), (1, 7), (3, 40), (2, None)])
+def test_event_rows(spark, monkeypatch, least, chunks):
+    rng, rows = random.Random(least), []
+    for t in [*range(30), None]:
+        ic = 0
+        for s in range(900 if t == 3 else rng.randrange(25)):  # a hot entity that spans many chunks, with runs as long as chunks
+            ic += rng.randrange(5)
+            kind = "write" if t == 3 and 200 < s < 700 else rng.choice(["write", "write", "call"])
+            rows.append((t, s * 2, None if rng.random() < 0.05 else ic, kind, None, 1, None, None, None, "clash", "c"))
+    rows += rows[:40] + [(1, None, 1, "write", None, 1, None, None, None, "", "")]
+    rng.shuffle(rows)
+    lists = {}
+    for r in rows:
+        lists.setdefault(r[0], []).append((r[1], r[2], r[3], r[4], r[5], None, r[6], None, r[7], r[8]))
+    want = brute_runs([(t, 0, "", 0, sorted(e, key=lambda x: (x[0] is None, x[0] or 0, x[1] is not None, x[1] or 0))) for t, e in lists.items()], least)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        out = U.collapse_event_rows(spark.createDataFrame(rows, EVENTS), least, chunks=chunks).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == len(want) and {(r.trace_id, r.first_seq, r.last_seq, r.n_effects, r.duration) for r in out} == want
+    assert U.collapse_event_rows(spark.createDataFrame([], EVENTS), least).count() == 0
+
+
 # ---- tokenizer -------------------------------------------------------------------------------------------------------
 
 DOCS = "doc_id bigint, text string, ids string, _id int"

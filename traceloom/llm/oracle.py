@@ -118,6 +118,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_ranked": P2_RANKED,
         "p5_found": f"SELECT trace_id, first_seq, last_seq FROM ({P5_RUNS}) WHERE n_effects >= 3",
         "p5_collapsed": P5_RUNS,
+        "p5_event_rows": P5_RUNS,
         "p7_offsets": "SELECT doc_id, 0 AS first_char, length(coalesce(text, ''))::BIGINT AS last_char, 0 AS gaps FROM documents",
         "p7_round_trip": "SELECT doc_id FROM documents WHERE false",
         "p8_rules": """

@@ -60,6 +60,13 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return runs.collapse_runs(_table(spark, sf, "traces"), least=1)
 
 
+def p5_event_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``p5_collapsed``, from one row per event with every trace cut into chunks."""
+    events = _table(spark, sf, "traces").select("trace_id", F.inline("effects"))
+    out = runs.collapse_event_rows(events)
+    return out.withColumns({c: F.col(c).cast("int") for c in ("first_seq", "last_seq")})
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode_ids(_table(spark, sf, "documents"))
 
