@@ -52,21 +52,38 @@ def sample_rows(seed=0, groups=25, size=8, edits=20):
     return rows
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_near_duplicate_pairs(spark, monkeypatch, hot):
+@pytest.mark.parametrize("shared", [0, 1, 2, 4])
+def test_near_duplicate_pairs(spark, monkeypatch, shared):
     rows = sample_rows()
-    if hot:
-        # every signature shares a segment, so its key is hot and refined
-        shared = list(range(8))
-        rows = [(*r[:4], r[4] if r[4] is None or len(r[4]) < 128 else shared + r[4][8:]) for r in rows]
+    monkeypatch.setattr(N, "CHUNK", 2)
+    if shared:
+        # every signature shares segments, so their keys are hot: at first, after two links, and even after the last one
+        rows = [(*r[:4], r[4] if r[4] is None or len(r[4]) < 128 else list(range(8 * shared)) + r[4][8 * shared :]) for r in rows]
         monkeypatch.setattr(N, "HOT_KEY", 32)
         monkeypatch.setattr(N, "HOT_SAMPLE", 1)
-        assert N._hot_keys(N.with_digest(N.eligible(table(spark, rows))), 16) is not None
+        levels = N._hot_keys(N.with_digest(N.eligible(table(spark, rows))), 16, N.CHAIN)
+        assert len(levels) == {1: 1, 2: 3, 4: 4}[shared]
     want = {p for p, (_, a, b) in brute_pairs(rows, 113).items() if a is not None and b is not None and a != b}
     got = [(r.id_a, r.id_b) for r in N.near_duplicate_pairs(table(spark, rows)).collect()]
     assert len(want) > 50 and sorted(got) == sorted(want)
 
 
+def test_only_hot_keys_of_a_bounded_number_reach_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, "b", 5, 3, [i % 10] * 8 + rng.integers(0, 1 << 60, 120).tolist()) for i in range(400)]
+    monkeypatch.setattr(N, "HOT_KEY", 16)
+    monkeypatch.setattr(N, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(N, "HOT_SHARE", 8)  # no key holds an eighth of the sample
+    assert N._hot_keys(N.with_digest(table(spark, rows)), 16, N.CHAIN) == []
+
+
+def test_copies_in_one_binary_make_no_rows(spark):
+    base = list(range(128))
+    rows = [(i, "one", 5, 3, base) for i in range(3000)] + [(5000, "two", 5, 3, base), (5001, "two", 5, 3, base[:127] + [-1])]
+    got = N.near_duplicate_pairs(table(spark, rows))
+    assert got.count() == 6000 and got.where("id_b < 5000").count() == 0
+
+
 def test_links_and_class_pairs(spark):
     rows = sample_rows(3)
     pairs = brute_pairs(rows, 113)

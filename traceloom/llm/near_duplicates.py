@@ -5,6 +5,11 @@ segment from which on every chain of l consecutive segments holds at most floor(
 first segment of that chain agrees exactly, so an equi-join on (segment, hash of its slots) finds every pair; the next
 segments, carried as one-byte sketches of their slots, must keep their share of the budget before a pair is a candidate.
 A sketch can hide a difference but never invent one, so no pair is lost. The full check compares all slots.
+
+Keys that very many distinct signatures share are refined along the chain, link by link. Over the first L links after the
+first segment at most L slots differ, so at least L of their 2 L halves agree: with L - 1 agreeing halves in the key already,
+one more of the others can be added, and the pair meets under that key. A key that is hot even after the last link is
+dealt to pairs of tiles, so that its comparisons spread over tasks. All of this changes the plan, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,9 +25,14 @@ from traceloom.operators.shared import materialize
 SLOTS = 128
 MIN_AGREE = 113
 CHAIN = 4
-#: Keys that more distinct signatures share than this, and than a thousandth of all, are refined.
+#: Keys that more distinct signatures share than this, and than one in HOT_SHARE of all, are refined.
 HOT_KEY = 4096
 HOT_SAMPLE = 16
+HOT_SHARE = 1000
+#: Tiles of a key that is hot after its last refinement.
+TILES = 8
+#: Rows of one signature and one binary that are expanded together.
+CHUNK = 1024
 
 
 def eligible(funcs: DataFrame) -> DataFrame:
@@ -79,29 +89,34 @@ def _differences(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
 
-def _hot_keys(rows: DataFrame, m: int) -> DataFrame | None:
-    """Segment keys that very many distinct signatures share, from a sample of the distinct signatures by digest.
+def _hot_keys(rows: DataFrame, m: int, chain: int) -> list[DataFrame]:
+    """Hot keys of each level of refinement, from a sample of the distinct signatures by digest; ends where none is hot.
 
-    Only the plan depends on the sample: refining a key or not gives the same pairs. A key must hold a thousandth of
-    the sample, so at most 1000 for each segment reach the driver.
+    Counting and filtering are distributed. A hot key holds at least one in HOT_SHARE of the sample, and a signature has m
+    keys, 2 m after the first link, 6 m after the second and 24 m after the third, so at most 1000 times these numbers
+    exist, whatever the corpus; usually there are none.
     """
-    spark = rows.sparkSession
     sample = rows.where(F.pmod("h1", F.lit(HOT_SAMPLE)) == 0).dropDuplicates(["h1", "h2"])
-    keys = sample.select(F.posexplode(_keys(F.col("sig"), m)).alias("seg", "key")).groupBy("seg", "key").count()
-    hot = keys.where(F.col("count") >= HOT_KEY // HOT_SAMPLE).collect()
-    if not hot:
-        return None
-    total = sample.count()
-    hot = [(r.seg, r.key, True) for r in hot if r["count"] * 1000 >= total]
-    return spark.createDataFrame(hot, "seg int, key long, hot boolean") if hot else None
-
+    levels: list[DataFrame] = []
+    total = None
+    while len(levels) < chain:
+        keys = postings(sample, m, chain, levels, may_refine=True).groupBy("seg", "key").count().where(F.col("count") >= HOT_KEY // HOT_SAMPLE)
+        if total is None:
+            if keys.isEmpty():
+                break
+            total = sample.count()
+        # keys of earlier levels that are left aren't hot, so these are of the newest level
+        hot = keys.where(F.col("count") * HOT_SHARE >= total).select("seg", "key").toArrow().combine_chunks()
+        if not hot.num_rows:
+            break
+        levels.append(rows.sparkSession.createDataFrame(hot).withColumn("hot", F.lit(True)))
+    return levels
 
-def postings(classes: DataFrame, m: int, chain: int, hot: DataFrame | None) -> DataFrame:
-    """One row per class and segment: ``seg``, ``key`` and the sketches ``c1`` .. of the segments that follow on the ring.
 
-    Where a key is hot, the second link of the chain sharpens it: the next segment may hold one difference at most, so
-    one of its halves agrees, and two keys (one per half) take the hot one's place.
-    """
+def postings(classes: DataFrame, m: int, chain: int, hot: list[DataFrame], may_refine: bool = False) -> DataFrame:
+    """One row per class and segment: ``seg``, ``key`` and the sketches ``c1`` .. of the segments that follow on the ring; where
+    a key is hot, one row for each way to refine it. With tiles also ``tile`` and ``within``."""
+    refined = bool(hot) or may_refine
     links = range(1, chain)
 
     def rows(b: Column) -> Column:
@@ -111,18 +126,36 @@ def postings(classes: DataFrame, m: int, chain: int, hot: DataFrame | None) -> D
                 i.alias("seg"),
                 F.get(b["k"], i).alias("key"),
                 *(F.get(b["s"], (i + j) % m).alias(f"c{j}") for j in links),
-                *([F.get(b["h"], ((i + 1) % m) * 2 + x).alias(f"r{x}") for x in (0, 1)] if hot is not None else []),
+                *([F.array(*(F.get(b["h"], ((i + j) % m) * 2 + x) for j in links for x in (0, 1))).alias("h")] if refined else []),
             ),
         )
 
     sig = F.col("sig")
-    parts = [_keys(sig, m).alias("k"), _sketches(sig, m).alias("s"), *([_halves(sig, m).alias("h")] if hot is not None else [])]
+    parts = [_keys(sig, m).alias("k"), _sketches(sig, m).alias("s"), *([_halves(sig, m).alias("h")] if refined else [])]
     out = classes.select("h1", "h2", F.inline(let(F.struct(*parts), rows)))
-    if hot is not None:
-        out = out.join(F.broadcast(hot), ["seg", "key"], "left")
-        finer = F.array(*(F.xxhash64("key", F.lit(x), f"r{x}") for x in (0, 1)))
-        out = out.withColumn("key", F.explode(F.when(F.col("hot"), finer).otherwise(F.array("key")))).drop("hot", "r0", "r1")
-    return out
+    if not refined:
+        return out
+    out = out.withColumn("used", F.lit(0))
+    for level, table in enumerate(hot[: chain - 1], 1):
+        # the halves of the first ``level`` links that the key doesn't hold yet
+        ways = [
+            F.when(F.col("used").bitwiseAND(F.lit(1 << j)) == 0, F.struct(F.xxhash64("key", F.lit(j), F.get("h", F.lit(j))).alias("key"), F.col("used").bitwiseOR(F.lit(1 << j)).alias("used")))
+            for j in range(2 * level)
+        ]
+        as_is = F.array(F.struct(F.col("key"), F.col("used")))
+        out = out.join(F.broadcast(table), ["seg", "key"], "left").withColumn("_k", F.explode(F.when(F.col("hot"), F.array_compact(F.array(*ways))).otherwise(as_is)))
+        out = out.withColumns({"key": F.col("_k.key"), "used": F.col("_k.used")}).drop("_k", "hot")
+    if len(hot) == chain:
+        out = out.join(F.broadcast(hot[-1]), ["seg", "key"], "left")
+        tile = F.when(F.col("hot"), F.pmod("h1", F.lit(TILES)).cast("int")).otherwise(-1)
+        out = out.withColumn("tile", tile)
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.lit(TILES - 1)),
+            lambda x: F.struct(F.xxhash64("key", F.least("tile", x), F.greatest("tile", x)).alias("key"), (F.col("tile") == x).alias("within")),
+        )
+        alone = F.array(F.struct(F.col("key"), F.lit(True).alias("within")))
+        out = out.withColumn("_k", F.explode(F.when(F.col("hot"), pairs).otherwise(alone))).withColumns({"key": F.col("_k.key"), "within": F.col("_k.within")}).drop("_k", "hot")
+    return out.drop("h", "used")
 
 
 def class_pairs(funcs: DataFrame, min_agree: int = MIN_AGREE, chain: int = CHAIN) -> tuple[DataFrame, DataFrame]:
@@ -134,10 +167,13 @@ def class_pairs(funcs: DataFrame, min_agree: int = MIN_AGREE, chain: int = CHAIN
     budget = SLOTS - min_agree
     rows = with_digest(eligible(funcs).select("id", "sig"))
     classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.any_value("sig").alias("sig"))
-    posted = postings(classes, m, chain, _hot_keys(rows, m))
+    hot = _hot_keys(rows, m, chain)
+    posted = postings(classes, m, chain, hot)
     a, b = posted.alias("a"), posted.alias("b")
     test = (F.col("a.seg") == F.col("b.seg")) & (F.col("a.key") == F.col("b.key"))
     test &= F.struct("a.h1", "a.h2") < F.struct("b.h1", "b.h2")
+    if len(hot) == chain:
+        test &= F.col("a.within") | (F.col("a.tile") != F.col("b.tile"))
     spent: Column | None = None
     for j in range(1, chain):
         d = _differences(F.col(f"a.c{j}"), F.col(f"b.c{j}"))
@@ -156,22 +192,31 @@ def class_pairs(funcs: DataFrame, min_agree: int = MIN_AGREE, chain: int = CHAIN
 def near_duplicate_pairs(funcs: DataFrame, min_agree: int = MIN_AGREE) -> DataFrame:
     """All pairs ``id_a < id_b`` of eligible rows with different ``binary`` text that agree in at least ``min_agree`` slots.
 
-    Rows of one signature are one class during the search; the pairs of ids are made from pairs of classes (a class with
-    itself included) only at the end. Null or short signatures, null complexity or shingles make a row ineligible; a
+    Rows of one signature are one class during the search. Pairs of classes become pairs of (class, binary) with different
+    binaries, and only those are expanded to ids, at most ``CHUNK`` rows of a class and binary at a time: copies inside one
+    binary, however many, make no row. Null or short signatures, null complexity or shingles make a row ineligible; a
     null ``binary`` differs from nothing, so such rows are in no pair. A row delivered twice under one id pairs twice.
     Empty tables give no rows; further columns are left out.
     """
     classes, pairs = class_pairs(funcs, min_agree)
-    alone = classes.where("members > 1").select(
-        F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("h1").alias("b1"), F.col("h2").alias("b2")
-    )
-    members = with_digest(eligible(funcs).select("id", "binary", "sig")).select("h1", "h2", "id", "binary")
-    one = members.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("id").alias("x"), F.col("binary").alias("x_binary"))
-    two = members.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("id").alias("y"), F.col("binary").alias("y_binary"))
-    both = pairs.drop("agree").unionByName(alone).join(one, ["a1", "a2"]).join(two, ["b1", "b2"])
+    whole = with_digest(eligible(funcs).select("id", "binary", "sig")).where(F.col("binary").isNotNull()).select("h1", "h2", "id", "binary")
+    groups = whole.groupBy("h1", "h2", "binary").agg(F.floor((F.count("*") - 1) / CHUNK).cast("int").alias("last"))
+    # classes whose rows all lie in one binary have no pair of their own
+    mixed = groups.groupBy("h1", "h2").agg(F.min("binary").alias("lo"), F.max("binary").alias("hi")).where("lo <> hi")
+    alone = mixed.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+
+    def side(df: DataFrame, c: str, tag: str) -> DataFrame:
+        return df.select(F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"), *(F.col(x).alias(f"{tag}_{x}") for x in df.columns if x not in ("h1", "h2")))
+
+    both = pairs.drop("agree").unionByName(alone).join(side(groups, "a", "x"), ["a1", "a2"]).join(side(groups, "b", "y"), ["b1", "b2"])
     same = (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))
-    keep = (F.col("x_binary") != F.col("y_binary")) & (~same | (F.col("x") < F.col("y")))
-    return both.where(keep).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    both = both.where((F.col("x_binary") != F.col("y_binary")) & (~same | (F.col("x_binary") < F.col("y_binary"))))
+    for tag in ("x", "y"):
+        both = both.withColumn(f"{tag}_part", F.explode(F.sequence(F.lit(0), F.col(f"{tag}_last")))).drop(f"{tag}_last")
+    parts = F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int").alias("part")
+    members = whole.join(groups.where("last > 0"), ["h1", "h2", "binary"], "left").select("h1", "h2", "id", "binary", F.coalesce(parts, F.lit(0)).alias("part"))
+    found = both.join(side(members, "a", "x"), ["a1", "a2", "x_binary", "x_part"]).join(side(members, "b", "y"), ["b1", "b2", "y_binary", "y_part"])
+    return found.where("x_id <> y_id").select(F.least("x_id", "y_id").alias("id_a"), F.greatest("x_id", "y_id").alias("id_b"))
 
 
 def near_duplicate_links(funcs: DataFrame, min_agree: int = MIN_AGREE) -> DataFrame:
