@@ -1,13 +1,15 @@
 """A query set against all rows, in blocks: exact ranks and best matches without making pairs.
 
 Queries are dealt into blocks that fit a worker, rows into shares; every (block, share) is one group of a single shuffle.
-A worker holds the block's signatures and streams the share past them, so what leaves it is one small record per query
-and share, never a pair.
+A worker holds the block's signatures and streams the share past them, so what leaves it is a bounded record per query
+and share, never a pair. Up to ``BLOCK`` queries no row is sent twice; beyond that each further block costs one more pass of
+the rows. Signatures are compared by 16 bits of every slot first, which never understates, and whole only where that could
+change a figure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,96 +19,171 @@ from pyspark.sql import functions as F
 from traceloom import constants as C
 from traceloom.operators.shared import materialize
 
-BLOCK = 4096
+BLOCK = 16_384
 SHARE = 32_768
-_TILE = 32
+LEAST_SHARE = 1024
+_TILE, _ROWS, _PAIRS = 64, 512, 16_384
+_FAR = np.iinfo(np.int64).max
 
 
-class _Block:
-    """Running figures of a block's queries."""
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Agreeing slots along the last axis (128 slots)."""
+    bits = np.packbits(a == b, axis=-1)
+    return np.bitwise_count(bits.view(np.uint64)).sum(axis=-1, dtype=np.int16)
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.sigs: np.ndarray | None = None
 
-    def add(self, number: np.ndarray, sigs: np.ndarray, bar: np.ndarray, bar_place: np.ndarray) -> None:
-        self.parts.append((number, sigs, bar, bar_place))
+def _thin(sigs: np.ndarray) -> np.ndarray:
+    """16 bits of every slot."""
+    x = np.ascontiguousarray(sigs).view(np.uint64)
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(C.GOLDEN) >> np.uint64(48)).astype(np.uint16)
 
-    def close(self) -> None:
-        if self.sigs is None:
-            self.q, self.sigs, self.bar, self.bar_place = (np.concatenate(x) for x in zip(*self.parts))
-            self.ahead = np.zeros(len(self.q), np.int64)
-            self.top = np.full(len(self.q), -1, np.int64)
-            self.top_place = np.zeros(len(self.q), np.int64)
 
-    def see(self, place: np.ndarray, sigs: np.ndarray) -> None:
-        if not self.parts:
+def _whole(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Agreeing slots of the rows ``at`` of a and ``to`` of b, some pairs at a time."""
+    parts = [(a[at[i : i + _PAIRS]] == b[to[i : i + _PAIRS]]).sum(axis=1) for i in range(0, len(at), _PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+class Best:
+    """The ``k`` best partners of each of ``n`` rows so far, best first: more agreeing slots, then the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.score = np.full((n, k), -1, np.int16)
+        self.who = np.full((n, k), _FAR)
+
+    def may_enter(self, rows: slice, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which of the partners ``ids`` (columns) would be among the best of ``rows`` with these scores."""
+        last, who = self.score[rows, -1:], self.who[rows, -1:]
+        return (score > last) | ((score == last) & (ids[None, :] < who))
+
+    def add(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if not len(row):
             return
-        self.close()
+        k = self.score.shape[1]
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        size = np.diff(np.append(starts, len(row)))
+        rank = np.arange(len(row)) - np.repeat(starts, size)
+        keep = rank < k
+        rows = row[starts]
+        new_score, new_who = np.full((len(rows), k), -1, np.int16), np.full((len(rows), k), _FAR)
+        at = np.repeat(np.arange(len(rows)), size)[keep]
+        new_score[at, rank[keep]], new_who[at, rank[keep]] = score[keep], ids[keep]
+        both, who = np.concatenate([self.score[rows], new_score], axis=1), np.concatenate([self.who[rows], new_who], axis=1)
+        first = np.lexsort((who, -both), axis=1)[:, :k]
+        self.score[rows], self.who[rows] = np.take_along_axis(both, first, 1), np.take_along_axis(who, first, 1)
+
+    def found(self, ids: np.ndarray) -> np.ndarray:
+        """(x, y, agreement) of all rows."""
+        row, place = np.nonzero(self.score >= 0)
+        return np.stack([ids[row], self.who[row, place], self.score[row, place].astype(np.int64)])
+
+
+class _Tops:
+    """The k best rows of each query of a block."""
+
+    def __init__(self, q: np.ndarray, sigs: np.ndarray, k: int, least: int):
+        self.q, self.sigs, self.thin, self.least, self.best = q, sigs, _thin(sigs), least, Best(len(q), k)
+
+    def see(self, place: np.ndarray, sigs: np.ndarray) -> None:
+        thin = _thin(sigs)
         for i in range(0, len(self.q), _TILE):
             s = slice(i, i + _TILE)
-            equal = (self.sigs[s, None, :] == sigs[None, :, :]).sum(axis=2)
-            bar, bar_place = self.bar[s, None], self.bar_place[s, None]
-            self.ahead[s] += ((equal > bar) | ((equal == bar) & (place[None, :] < bar_place))).sum(axis=1)
-            most = equal.max(axis=1)
-            first = np.where(equal == most[:, None], place[None, :], np.iinfo(np.int64).max).min(axis=1)
-            better = (most > self.top[s]) | ((most == self.top[s]) & (first < self.top_place[s]))
-            self.top[s] = np.where(better, most, self.top[s])
-            self.top_place[s] = np.where(better, first, self.top_place[s])
+            rough = agreement(self.thin[s, None, :], thin[None, :, :])
+            a, b = np.nonzero((rough >= self.least) & self.best.may_enter(s, rough, place))
+            equal = _whole(self.sigs, a + i, sigs, b)
+            ok = equal >= self.least
+            self.best.add(a[ok] + i, place[b[ok]], equal[ok])
 
     def out(self) -> list[np.ndarray]:
-        if self.sigs is None:
-            return []
-        seen = self.top >= 0
-        return [x[seen] for x in (self.q, self.ahead, self.top, self.top_place)]
+        return list(self.best.found(self.q))
 
 
-def against_all(queries: DataFrame, rows: DataFrame, block: int = BLOCK, share: int = SHARE) -> DataFrame:
-    """``q, ahead, top_equal, top_place`` of every query, compared with all rows by agreeing slots.
+class _Ranks:
+    """Per query of a block: how many rows are ahead of a bar, and the best row."""
 
-    ``queries`` has ``q, sig, bar, bar_place``: ``ahead`` counts the rows that agree in more than ``bar`` slots, or in as many
-    with a smaller ``place`` than ``bar_place``. ``rows`` has ``place, sig``; the best row has the most agreeing slots and, of
-    equals, the smallest place. All signatures have 128 slots without nulls; no rows, or no queries, give no result.
-    """
-    queries = materialize(queries.select("q", "sig", "bar", "bar_place"), "queries")
-    blocks = max(1, -(-queries.count() // block))
-    shares = max(1, -(-rows.count() // share))
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(
-        number("q", blocks).alias("b"), every(shares).alias("s"), F.lit(0).alias("kind"), F.col("q").cast("long").alias("n"), "sig",
-        F.col("bar").cast("long").alias("bar"), F.col("bar_place").cast("long").alias("bar_place"),
-    )
-    none = F.lit(0).cast("long")
-    r = rows.select(
-        every(blocks).alias("b"), number("place", shares).alias("s"), F.lit(1).alias("kind"), F.col("place").cast("long").alias("n"), "sig",
-        none.alias("bar"), none.alias("bar_place"),
-    )
+    def __init__(self, q: np.ndarray, sigs: np.ndarray, bar: np.ndarray, bar_place: np.ndarray):
+        self.q, self.sigs, self.thin, self.bar, self.bar_place = q, sigs, _thin(sigs), bar, bar_place
+        self.ahead, self.best = np.zeros(len(q), np.int64), Best(len(q), 1)
+
+    def see(self, place: np.ndarray, sigs: np.ndarray) -> None:
+        thin = _thin(sigs)
+        for i in range(0, len(self.q), _TILE):
+            s = slice(i, i + _TILE)
+            rough = agreement(self.thin[s, None, :], thin[None, :, :])
+            a, b = np.nonzero((rough >= self.bar[s, None]) | self.best.may_enter(s, rough, place))
+            a += i
+            equal = _whole(self.sigs, a, sigs, b)
+            over = (equal > self.bar[a]) | ((equal == self.bar[a]) & (place[b] < self.bar_place[a]))
+            self.ahead += np.bincount(a[over], minlength=len(self.q))
+            self.best.add(a, place[b], equal)
+
+    def out(self) -> list[np.ndarray]:
+        seen = self.best.score[:, 0] >= 0
+        return [x[seen] for x in (self.q, self.ahead, self.best.score[:, 0].astype(np.int64), self.best.who[:, 0])]
+
+
+def _through(queries: DataFrame, rows: DataFrame, extra: tuple[str, ...], make: Callable, names: list[str], block: int, share: int) -> DataFrame:
+    """Groups of a block of queries (``q, sig, *extra``) and a share of rows (``place, sig``), each seen by what ``make`` gives."""
+    queries = materialize(queries.select(F.col("q").cast("long").alias("q"), "sig", *(F.col(c).cast("long").alias(c) for c in extra)), "queries")
+    rows = materialize(rows.select(F.col("place").cast("long").alias("place"), "sig"), "rows")
+    blocks, n = max(1, -(-queries.count() // block)), rows.count()
+    # small inputs are dealt to all cores
+    shares = max(1, -(-n // share), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_SHARE)))
+    number = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    q = queries.select(number("q", blocks).alias("b"), every(shares).alias("s"), F.lit(0).alias("kind"), F.col("q").alias("n"), "sig", *extra)
+    none = [F.lit(0).cast("long").alias(c) for c in extra]
+    r = rows.select(every(blocks).alias("b"), number("place", shares).alias("s"), F.lit(1).alias("kind"), F.col("place").alias("n"), "sig", *none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["q", "ahead", "top_equal", "top_place"]
-        at, state = None, _Block()
+        at, held, state = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if state is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in state.out()], names)
+
         for batch in batches:
-            b, s, kind, n, _, bar, bar_place = (x.to_numpy(zero_copy_only=False) if k != 4 else None for k, x in enumerate(batch.columns))
+            b, s, kind, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             sigs = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, C.SLOTS)
+            others = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5, batch.num_columns)]
             new = np.concatenate([[True], (b[1:] != b[:-1]) | (s[1:] != s[:-1]) | (kind[1:] != kind[:-1])]) if len(b) else np.zeros(0, bool)
             cut = np.append(np.flatnonzero(new), len(b))
             for i, j in zip(cut, cut[1:]):
                 group = (int(b[i]), int(s[i]))
                 if group != at:
-                    if done := state.out():
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], names)
-                    at, state = group, _Block()
+                    yield from done()
+                    at, held, state = group, [], None
                 if kind[i] == 0:
-                    state.add(n[i:j], sigs[i:j], bar[i:j], bar_place[i:j])
-                else:
-                    for k in range(i, j, 512):
-                        state.see(n[k : min(j, k + 512)], sigs[k : min(j, k + 512)])
-        if done := state.out():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], names)
-
-    dealt = q.unionByName(r).repartition("b", "s").sortWithinPartitions("b", "s", "kind")
-    partial = dealt.mapInArrow(run, "q bigint, ahead bigint, top_equal bigint, top_place bigint")
+                    held.append((n[i:j], sigs[i:j], *(x[i:j] for x in others)))
+                elif held or state:
+                    if state is None:
+                        state, held = make(*(np.concatenate(x) for x in zip(*held))), []
+                    for k in range(i, j, _ROWS):
+                        state.see(n[k : min(j, k + _ROWS)], sigs[k : min(j, k + _ROWS)])
+        yield from done()
+
+    dealt = q.unionByName(r).repartition("b", "s").sortWithinPartitions("b", "s", "kind", "n")
+    return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+
+
+def against_all(queries: DataFrame, rows: DataFrame, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """``q, ahead, top_equal, top_place`` of every query, compared with all rows by agreeing slots.
+
+    ``queries`` has ``q, sig, bar, bar_place``: ``ahead`` counts the rows that agree in more than ``bar`` slots, or in as many
+    with a smaller ``place`` than ``bar_place``. ``rows`` has ``place, sig``; the best row has the most agreeing slots and, of
+    equals, the smallest place. All signatures have 128 slots without nulls; no rows, or no queries, give no result.
+    Both inputs are stored and counted when the plan is built.
+    """
+    partial = _through(queries, rows, ("bar", "bar_place"), _Ranks, ["q", "ahead", "top_equal", "top_place"], block, share)
     best = F.min(F.struct((-F.col("top_equal")).alias("e"), F.col("top_place").alias("p"))).alias("_t")
     summed = partial.groupBy("q").agg(F.sum("ahead").alias("ahead"), best)
     return summed.select("q", "ahead", (-F.col("_t.e")).alias("top_equal"), F.col("_t.p").alias("top_place"))
+
+
+def nearest_in_blocks(queries: DataFrame, rows: DataFrame, k: int, least: int = 0, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """``q, place, equal``: for each query (``q, sig``) the ``k`` best rows (``place, sig``) of every share, so the k best of all
+    are among them: at least ``least`` agreeing slots, more first, then the smaller place. Null-free signatures of 128 slots;
+    empty sides give no rows. Both inputs are stored and counted when the plan is built."""
+    return _through(queries, rows, (), lambda q, sigs: _Tops(q, sigs, k, least), ["q", "place", "equal"], block, share)
