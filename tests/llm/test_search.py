@@ -154,15 +154,30 @@ def test_recall_on_the_table(spark):
     assert len(want & got) >= 0.97 * len(want)
 
 
-def test_graph_recall_and_split_lists(monkeypatch):
+def exact_partners(codes, ids, least, k, allowed=lambda i, j: True):
+    out = set()
+    for i in range(len(ids)):
+        agree = (codes[i].reshape(3, 128) == codes.reshape(-1, 3, 128)).all(axis=1).sum(axis=1)
+        best = sorted((-int(agree[j]), int(ids[j])) for j in range(len(ids)) if j != i and agree[j] >= least and allowed(i, j))
+        out |= {(int(ids[i]), j, -s) for s, j in best[:k]}
+    return out
+
+
+@pytest.mark.parametrize("split", [None, 150])
+def test_best_partners(split):
+    rng = np.random.default_rng(7)
+    codes = V.code_slots(np.array(families(rng, 8, 50, 30)))
+    codes = codes[rng.permutation(len(codes))]
+    ids = rng.permutation(1000)[: len(codes)].astype(np.int64)
+    got = V.best_partners(codes, ids, 90, 3, split, rows=32, cols=64)
+    side = lambda i: i < (split or 0)
+    want = exact_partners(codes, ids, 90, 3, lambda i, j: split is None or side(i) != side(j))
+    assert len(want) > 300 and set(map(tuple, got.T.tolist())) == want and got.shape[1] == len(want)
+
+
+def test_graph_recall():
     rng = np.random.default_rng(7)
     codes = V.code_slots(np.array(families(rng, 400, 8, 24)))
-    i, j, s = V._tiles(codes, 90)
-    assert len(i) > 5000
-    monkeypatch.setattr(V, "LONG_LIST", 500)
-    x, y, t = V.similar_pairs(codes, 90)
-    want, got = set(zip(i.tolist(), j.tolist())), set(zip(x.tolist(), y.tolist()))
-    assert got <= want and len(got) >= 0.9 * len(want)
     graph = V.Graph(codes[rng.permutation(len(codes))[:1500]], pivots=100)
     number, score = graph.nearest(codes, 5)
     exact = np.sort(V.agreement(codes[:, None, :128], graph.c[None]), axis=1)[:, ::-1]
@@ -170,6 +185,48 @@ def test_graph_recall_and_split_lists(monkeypatch):
     assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in number)
 
 
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 60)
+    monkeypatch.setattr(V, "LENGTH_SAMPLE", 1)
+    sizes = []
+    monkeypatch.setattr(V, "CENTROIDS", 4)
+    rows = sample_rows(6, groups=20, edits=30)
+    asked = V._blocks
+
+    def blocks(*args):
+        sizes.append(asked(*args))
+        return sizes[-1]
+
+    monkeypatch.setattr(V, "_blocks", blocks)
+    got = {(r.id, r.neighbour_id) for r in V.nearest_rows(table(spark, rows), most=4).collect()}
+    assert sizes[0].max() >= 3  # few centroids, so lists of more than two blocks
+    want = brute_nearest(rows, 5, 90)
+    assert got == {p for p in got if p in want} and len(got) >= 0.9 * len(want)
+
+
+def test_work_on_a_dense_family_is_bounded():
+    # every row agrees with every other: far more pairs than rows, of which k per row are held
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    codes = V.code_slots(np.array(families(rng, 1, 3000, 16)))
+    tracemalloc.start()
+    found = V.best_partners(codes, np.arange(3000), 90, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.shape == (3, 15_000) and peak < 120e6
+
+
+def test_exact_neighbours_and_recall(spark):
+    rows = sample_rows(6, groups=20, edits=30)
+    want = {(i, j) for i, j in brute_nearest(rows, 5, 90) if i % 10 == 0}
+    got = [(r.id, r.neighbour_id) for r in V.exact_neighbours(table(spark, rows + rows[:3]), F.col("place") % 10 == 0).collect()]
+    assert sorted(got) == sorted(want)
+    r = V.recall(table(spark, rows), every=10).first()
+    assert (r.queries, r.wanted, r.enough) == (len({i for i, _ in want}), len(want), True)
+    assert V.recall(table(spark, [])).first().enough
+
+
 STRUCT = "array<struct<seq int, kind string, sym string, nr bigint>>"
 ROWS = f"trace_id bigint, func_id bigint, effects {STRUCT}, steps string, codes int"
 

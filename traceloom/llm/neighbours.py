@@ -3,11 +3,16 @@
 Index: a bounded sample of the distinct signatures serves as centroids, joined into a nearest-neighbour graph that every
 worker holds. Each distinct signature is stored in the lists of its nearest centroids, found by a best-first walk over
 the graph; boundary signatures fall into several lists. With the distance taken as slots by agreeing slots, a list is
-kept while its distance is at most ``RATIO`` times the nearest one, up to ``LISTS``. Inside a list all pairs are
-compared; a list that grows too long is split by centroids of its own in the same way, so lists stay balanced.
+kept while its distance is at most ``RATIO`` times the nearest one, up to ``LISTS``.
+
+Balance: a centroid in the middle of a dense family draws all of it into one list. List lengths are estimated before
+anything is shuffled; a long list is cut into blocks, and each pair of blocks is a unit of work of its own, so no task
+holds more than two blocks. Inside a unit every row keeps a running list of its k best, so memory doesn't grow with the
+number of similar pairs.
 
 Signatures travel as 24 bits of every slot. Two different slot values agree in them once in 16.7 million, so an
-agreement is overstated for about 2 pairs in a million.
+agreement is overstated for about 2 pairs in a million. ``exact_neighbours`` compares whole signatures, for a stated query
+set against all rows.
 """
 
 from __future__ import annotations
@@ -16,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.near_duplicates import SLOTS, eligible, with_digest
+from traceloom.operators.blocks import Best, agreement, nearest_in_blocks
 from traceloom.operators.shared import materialize, spread
 
-#: Bound of the sample that the index is fitted on.
-CENTROIDS = 8192
+#: Bound of the sample that the index is fitted on; reached at 3 million distinct signatures.
+CENTROIDS = 65_536
 PER_CENTROID = 48
 DEGREE = 24
 PIVOTS = 384
@@ -31,7 +38,9 @@ SEED_SLOTS = 3
 LISTS = 5
 RATIO = 2.0
 BEAM = 32
-LONG_LIST = 2048
+#: Rows of a block; longer lists are cut. Lengths are estimated from one distinct signature in LENGTH_SAMPLE.
+BLOCK = 4096
+LENGTH_SAMPLE = 16
 BYTES = 3 * SLOTS
 
 
@@ -46,12 +55,6 @@ def code_slots(sigs: np.ndarray) -> np.ndarray:
     return np.concatenate([((x >> np.uint64(s)) & np.uint64(255)).astype(np.uint8) for s in (8, 16, 24)], axis=1)
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Agreeing slots along the last axis of byte arrays (128 slots of one plane)."""
-    bits = np.packbits(a == b, axis=-1)
-    return np.bitwise_count(bits.view(np.uint64)).sum(axis=-1, dtype=np.int16)
-
-
 def _full(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Agreeing slots by all three planes, row against row."""
     same = a == b
@@ -76,7 +79,7 @@ class Graph:
         if not self.flat:
             self.links = self._nearest(min(degree, n - 1))
             keys = self._runs(self.c)
-            self.order = np.argsort(keys, axis=0, kind="stable")
+            self.order = np.argsort(keys, axis=0, kind="stable").astype(np.int32)
             self.keys = np.take_along_axis(keys, self.order, 0)
 
     @staticmethod
@@ -100,10 +103,10 @@ class Graph:
         x ^= x >> np.uint32(15)
         signs = np.concatenate([((x >> np.uint32(s)) & np.uint32(1)).astype(np.float32) * 2 - 1 for s in (3, 7, 12)], axis=1)
         out = np.empty((len(x), degree), np.int32)
-        for i in range(0, len(x), 512):
-            dots = signs[i : i + 512] @ signs.T
+        for i in range(0, len(x), 256):
+            dots = signs[i : i + 256] @ signs.T
             dots[np.arange(len(dots)), np.arange(i, i + len(dots))] = -np.inf
-            out[i : i + 512] = np.argpartition(-dots, degree - 1, axis=1)[:, :degree]
+            out[i : i + 256] = np.argpartition(-dots, degree - 1, axis=1)[:, :degree]
         return out
 
     def nearest(self, queries: np.ndarray, k: int, rounds: int = 6, width: int = 4, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -174,47 +177,34 @@ def chosen_lists(graph: Graph, codes: np.ndarray, lists: int = LISTS, ratio: flo
 # ---- search inside a list --------------------------------------------------------------------------------------------
 
 
-def similar_pairs(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i < j, agreement) of a list that agree in at least ``least`` slots; long lists are split first."""
-    n = len(codes)
-    if n > LONG_LIST:
-        pick = np.random.default_rng(n).permutation(n)[: min(CENTROIDS, max(2, n // 256))]
-        row, own = chosen_lists(Graph(codes[pick]), codes)
-        order = np.lexsort((row, own))
-        row, own = row[order], own[order]
-        ends = np.append(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), len(own))
-        parts = []
-        for a, b in zip(ends, ends[1:]):
-            sub = row[a:b]
-            # a split that doesn't shorten the list is compared whole, in tiles
-            i, j, s = similar_pairs(codes[sub], least) if b - a < n // 2 else _tiles(codes[sub], least)
-            parts.append(np.stack([sub[i], sub[j], s]))
-        return tuple(np.unique(np.concatenate(parts, axis=1), axis=1))
-    return _tiles(codes, least)
-
-
-def _tiles(codes: np.ndarray, least: int, rows: int = 128, cols: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    plane, out = np.ascontiguousarray(codes[:, :SLOTS]), []
-    for i in range(0, len(codes), rows):
-        for j in range(i, len(codes), cols):
-            a, b = np.nonzero(agreement(plane[i : i + rows, None, :], plane[None, j : j + cols, :]) >= least)
-            a, b = a + i, b + j
-            a, b = a[a < b], b[a < b]
-            if len(a):
-                s = _full(codes[a], codes[b])
-                out.append(np.stack([a[s >= least], b[s >= least], s[s >= least]]))
-    found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-    return found[0], found[1], found[2]
-
-
-def _best(x: np.ndarray, y: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Directed pairs of a list, at most the k best of each x."""
-    a, b, s = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([s, s])
-    order = np.lexsort((ids[b], -s, a))
-    a, b, s = a[order], b[order], s[order]
-    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-    return np.stack([ids[a], ids[b], s])[:, rank < k]
+def best_partners(codes: np.ndarray, ids: np.ndarray, least: int, k: int, split: int | None = None, rows: int = 128, cols: int = 512) -> np.ndarray:
+    """(x, y, agreement): for each row its up to ``k`` best partners that agree in at least ``least`` slots.
+
+    With ``split`` only pairs of a row before and a row after that place count. Tiles are compared by one byte per slot,
+    which never understates; what could enter a row's best is then compared by all three.
+    """
+    first = np.argsort(ids[: split or len(ids)], kind="stable")  # ties are settled early in the order of ids
+    order = first if split is None else np.append(first, split + np.argsort(ids[split:], kind="stable"))
+    codes, ids = codes[order], ids[order]
+    plane, best = np.ascontiguousarray(codes[:, :SLOTS]), Best(len(ids), k)
+    for i in range(0, split or len(ids), rows):
+        across = slice(i, min(i + rows, split or len(ids)))
+        for j in range(i if split is None else split, len(ids), cols):
+            down = slice(j, min(j + cols, len(ids)))
+            score = agreement(plane[across, None, :], plane[None, down, :])
+            hit = score >= least
+            if not hit.any():
+                continue
+            hit &= best.may_enter(across, score, ids[down]) | best.may_enter(down, score.T, ids[across]).T
+            a, b = np.nonzero(hit)
+            a, b = a + across.start, b + down.start
+            if split is None:
+                a, b = a[a < b], b[a < b]
+            s = _full(codes[a], codes[b])
+            a, b, s = a[s >= least], b[s >= least], s[s >= least]
+            best.add(a, ids[b], s)
+            best.add(b, ids[a], s)
+    return best.found(ids)
 
 
 # ---- on Spark --------------------------------------------------------------------------------------------------------
@@ -248,23 +238,53 @@ def _sample(coded: DataFrame, most: int) -> np.ndarray:
     return codes[np.random.default_rng(0).permutation(len(codes))]
 
 
+def _blocks(classes: DataFrame, graph: Broadcast, lists: int, ratio: float) -> np.ndarray:
+    """Number of blocks of every list, from the lists of a sample of the distinct signatures: one number per centroid."""
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                _, own = chosen_lists(graph.value, _codes(b.column(0)), lists, ratio)
+                lists_, n = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lists_, pa.int32()), pa.array(n, pa.int64())], ["list", "n"])
+
+    sample = classes.where(F.pmod("h2", F.lit(LENGTH_SAMPLE)) == 0).select("code")
+    counted = sample.mapInArrow(lengths, "list int, n bigint").groupBy("list").agg(F.sum("n").alias("n")).where(F.col("n") * LENGTH_SAMPLE > BLOCK)
+    found, out = counted.toArrow(), np.ones(len(graph.value.c), np.int64)
+    out[found.column("list").to_numpy()] = -(-found.column("n").to_numpy() * LENGTH_SAMPLE // BLOCK)
+    return out
+
+
 def similar_classes(classes: DataFrame, centroids: np.ndarray, least: int, k: int, lists: int = LISTS, ratio: float = RATIO) -> DataFrame:
-    """``x``, ``y``, ``agree``: for each class (``rep``, ``code``) its up to ``k`` best other classes, each found once."""
-    spark = classes.sparkSession
-    held = spark.sparkContext.broadcast(Graph(centroids))
+    """``x``, ``y``, ``agree``: for each class (``rep``, ``h2``, ``code``) its up to ``k`` best other classes, each found once."""
+    held = classes.sparkSession.sparkContext.broadcast(Graph(centroids))
+    blocks = _blocks(classes, held, lists, ratio)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 row, own = chosen_lists(held.value, _codes(b.column(1)), lists, ratio)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column(0).take(take), b.column(1).take(take)], ["list", "rep", "code"])
+                many = blocks[own]
+                # a row of a list of n blocks goes to each of its block's n units; unit (lo, hi) has the number lo * n + hi
+                mine = (b.column(0).to_numpy()[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many
+                at = np.repeat(np.arange(len(row)), many)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                unit = np.minimum(mine[at], other) * many[at] + np.maximum(mine[at], other)
+                for i in range(0, len(at), 20_000):
+                    part = slice(i, i + 20_000)
+                    take = pa.array(row[at[part]])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[at[part]], pa.int32()), pa.array(unit[part], pa.int32()), pa.array(mine[at[part]], pa.int32()), b.column(0).take(take), b.column(1).take(take)],
+                        ["list", "unit", "block", "rep", "code"],
+                    )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(parts: list[pa.RecordBatch]) -> np.ndarray:
-            reps = np.concatenate([p.column(1).to_numpy() for p in parts])
-            codes = np.concatenate([_codes(p.column(2)) for p in parts])
-            return _best(*similar_pairs(codes, least), reps, k)
+        def partners(parts: list[pa.RecordBatch]) -> np.ndarray:
+            block, reps = (np.concatenate([p.column(n).to_numpy() for p in parts]) for n in (2, 3))
+            codes = np.concatenate([_codes(p.column(4)) for p in parts])
+            lo, hi = divmod(int(parts[0].column(1)[0].as_py()), int(blocks[parts[0].column(0)[0].as_py()]))
+            split = int(np.searchsorted(block, hi)) if lo != hi else None
+            return best_partners(codes, reps, least, k, split)
 
         def out(found: list[np.ndarray]) -> pa.RecordBatch:
             x, y, s = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
@@ -272,21 +292,21 @@ def similar_classes(classes: DataFrame, centroids: np.ndarray, least: int, k: in
 
         held_parts, at, found = [], None, []
         for b in batches:
-            own = b.column(0).to_numpy()
+            own = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
             cut = np.append(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), len(own)) if len(own) else []
             for i, j in zip(cut, cut[1:]):
                 if own[i] != at and held_parts:
-                    found.append(pairs(held_parts))
+                    found.append(partners(held_parts))
                     held_parts = []
                 at = own[i]
                 held_parts.append(b.slice(i, j - i))
             yield out(found)
             found = []
         if held_parts:
-            yield out([pairs(held_parts)])
+            yield out([partners(held_parts)])
 
-    stored = classes.select("rep", "code").mapInArrow(store, "list int, rep bigint, code binary")
-    by_list = stored.repartition("list").sortWithinPartitions("list")
+    stored = classes.select("rep", "code").mapInArrow(store, "list int, unit int, block int, rep bigint, code binary")
+    by_list = stored.repartition("list", "unit").sortWithinPartitions("list", "unit", "block")
     found = by_list.mapInArrow(search, "x bigint, y bigint, agree int")
     best = Window.partitionBy("x").orderBy(F.col("agree").desc(), "y")
     ranked = found.withColumn("_r", F.dense_rank().over(best)).where(F.col("_r") <= k)
@@ -299,7 +319,7 @@ def nearest_rows(funcs: DataFrame, k: int = 5, least: int = 90, lists: int = LIS
 
     Rows of equal signature are one class in the search and neighbours with 128 agreeing slots; of each class only its
     ``k + 1`` smallest ids can be anyone's neighbours, so a class of any size stays small on the way. Different classes
-    are found with the recall of the index (0.97 and more of the pairs; see the tests). Ineligible rows (null fields, other
+    are found with the recall of the index (see ``recall`` and the README). Ineligible rows (null fields, other
     lengths, null slots) take no part; rows without a neighbour give no row; a row delivered twice under one id is one
     neighbour and gives its rows twice; an empty table gives none.
     """
@@ -307,7 +327,7 @@ def nearest_rows(funcs: DataFrame, k: int = 5, least: int = 90, lists: int = LIS
     by_id = Window.partitionBy("h1", "h2").orderBy("id")
     firsts = coded.select("h1", "h2", "id").withColumn("_r", F.dense_rank().over(by_id)).where(F.col("_r") <= k + 1)
     firsts = firsts.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("rep", F.get("ids", F.lit(0)))
-    classes = coded.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("code").alias("code"))
+    classes = coded.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("code").alias("code")).select("h2", "rep", "code")
     edges = similar_classes(classes, _sample(coded, most), least, k, lists, ratio)
     own = firsts.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(SLOTS).alias("agree"))
     near = edges.unionByName(own).join(firsts.select(F.col("rep").alias("y"), "ids"), "y").select("x", "agree", F.explode("ids").alias("n"))
@@ -318,3 +338,29 @@ def nearest_rows(funcs: DataFrame, k: int = 5, least: int = 90, lists: int = LIS
     rows = coded.select("h1", "h2", "id").join(whole.select("h1", "h2", "top"), ["h1", "h2"])
     others = F.slice(F.filter("top", lambda t: t["n"] != F.col("id")), 1, k)
     return rows.select("id", F.inline(F.transform(others, lambda t: F.struct(t["n"].alias("neighbour_id"), t["agree"].alias("agree")))))
+
+
+def exact_neighbours(funcs: DataFrame, asked: Column, k: int = 5, least: int = 90) -> DataFrame:
+    """``id``, ``neighbour_id``, ``agree`` as ``nearest_rows`` defines them, for the eligible rows for which ``asked`` holds, by
+    comparing their whole signatures with those of all eligible rows, in blocks.
+
+    The exact way, and the measure of the index: the work is queries times rows, so it is meant for a stated query set.
+    Repeated ids are one neighbour and one query.
+    """
+    rows = eligible(funcs).select(F.col("id").cast("long").alias("place"), "sig").dropDuplicates(["place"])
+    queries = rows.where(asked).select(F.col("place").alias("q"), "sig")
+    found = nearest_in_blocks(queries, rows, k + 1, least).where("q <> place")
+    best = Window.partitionBy("q").orderBy(F.col("equal").desc(), "place")
+    ranked = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+    return ranked.select(F.col("q").alias("id"), F.col("place").alias("neighbour_id"), F.col("equal").cast("int").alias("agree"))
+
+
+def recall(funcs: DataFrame, every: int = 100, k: int = 5, least: int = 90, enough: float = 0.9) -> DataFrame:
+    """One row: how much of the exact result for the ids divisible by ``every`` the index gives: ``queries`` (with a
+    neighbour), ``wanted`` pairs, ``recall`` and ``enough`` (whether it reaches that share)."""
+    test = F.pmod("place", F.lit(every)) == 0
+    exact = exact_neighbours(funcs, test, k, least).select("id", "neighbour_id")
+    got = nearest_rows(funcs, k, least).select("id", "neighbour_id").where(F.pmod("id", F.lit(every)) == 0).withColumn("_got", F.lit(1))
+    both = exact.join(got.distinct(), ["id", "neighbour_id"], "left")
+    share = F.coalesce(F.try_divide(F.count("_got"), F.count("id")), F.lit(1.0))
+    return both.agg(F.count_distinct("id").alias("queries"), F.count("id").alias("wanted"), share.alias("recall"), (share >= enough).alias("enough"))

@@ -112,6 +112,7 @@ def oracle_sql() -> dict[str, str]:
             AND x IN (SELECT rep FROM e) AND y IN (SELECT rep FROM e)""",
         "p1_groups": P1_GROUPS,
         "p3_found": P3_FOUND,
+        "p3_recall": f"SELECT count(DISTINCT id) AS queries, count(*) AS wanted, true AS enough FROM ({P3_FOUND}) WHERE id % 100 = 0",
         "p4_found": f"SELECT pattern FROM ({P4_SUPPORTS})",
         "p4_supports": P4_SUPPORTS,
         "p2_found": f"SELECT named_id FROM ({P2_RANKED})",
