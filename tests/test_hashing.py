@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ def test_golden_tokens_both_forms(spark):
     df = traces(spark, [(1, 1, numbered([e for e, _ in TOKENS]), False)])
     got = df.select(F.transform("effects", E.token).alias("t")).first().t
     assert got == [t for _, t in TOKENS]
-    cols = [np.array([e[k] for e, _ in TOKENS], object) for k in ("kind", "region", "region_k", "off", "val", "val_k", "sym", "nr")]
+    cols = [[e[k] for e, _ in TOKENS] for k in ("kind", "region", "region_k", "off", "val", "val_k", "sym", "nr")]
     ints = lambda a: np.array([x or 0 for x in a], np.int64)
-    flat = [ints(c) if i in (2, 3, 5, 7) else c for i, c in enumerate(cols)]
+    flat = [ints(c) if i in (2, 3, 5, 7) else E.Coded(pa.array(c, pa.string())) for i, c in enumerate(cols)]
     assert E.np_tokens(*flat).view(np.int64).tolist() == [t for _, t in TOKENS]
 
 
@@ -84,6 +85,26 @@ def test_fixture_fingerprints(spark):
     assert fp[3].capped and not base.capped
 
 
+def test_keys_with_many_effects_go_another_way_to_the_same_figures(spark, monkeypatch):
+    rows = [(1, 1, BASE, False), (2, 1, EDIT, None), (3, 2, UNRELATED, True), (4, 3, [], False), (5, None, BASE, False), (6, 1, None, False), (7, 4, BASE[:2], False)]
+    df = traces(spark, rows * 3)
+    want = sorted(map(str, P.fingerprints(df).collect()))
+    monkeypatch.setattr(P, "MANY_EFFECTS", 15)
+    assert sorted(map(str, P.fingerprints(df).collect())) == want and len(want) == 5
+
+
+def test_a_key_of_very_many_traces(spark, monkeypatch):
+    monkeypatch.setattr(P, "MANY_EFFECTS", 50_000)
+    one = F.struct(*(v.cast(t).alias(n) for n, t, v in [
+        ("seq", "int", F.lit(0)), ("ic", "bigint", F.lit(0)), ("kind", "string", F.lit("syscall")), ("region", "string", F.lit(None)), ("region_k", "int", F.lit(None)), ("off", "int", F.lit(None)),
+        ("val", "string", F.lit(None)), ("val_k", "bigint", F.lit(None)), ("sym", "string", F.lit(None)), ("nr", "bigint", F.col("id"))]))
+    df = spark.range(120_000).select(F.lit(7).alias("func_id"), F.array(one).alias("effects"), (F.col("id") == 5).alias("capped"))
+    r = P.fingerprints(df).first()
+    values = H.np_mix(C.UNIGRAM, np.array([H.py_fnv(bytes([4]) + int(k).to_bytes(8, "little")) for k in range(120_000)], np.uint64), n=120_000)
+    assert (r.shingles, r.complexity, r.capped) == (120_000, 3, True)
+    assert r.sig == S.np_minhash(values, np.array([0]), 1, np.array([0]))[0].view(np.int64).tolist()
+
+
 def test_empty_traces_are_zero_and_identical(spark):
     df = traces(spark, [(1, 1, [], False), (2, 2, None, None), (3, 3, numbered([effect("ret", val="zero")]), False), (4, 3, [], False)])
     fp = {r.func_id: r for r in P.fingerprints(df).collect()}
@@ -112,8 +133,6 @@ def test_column_forms_equal_numpy(spark):
     col = df.select("func_id", S.shingles(F.transform("effects", E.token)).alias("s"))
     fp = {r.func_id: r for r in P.fingerprints(df).collect()}
     assert {r.func_id: len(r.s) for r in col.collect()} == {k: r.shingles for k, r in fp.items()}
-    for r in S.slot_minima(col.select("func_id", F.explode("s").alias("x")), "func_id", "x").collect():
-        assert fp[r.func_id].sig[r.slot] == r.value  # unsigned minima
     keys = P.fingerprints(df).select("func_id", S.band_keys(F.col("sig")).alias("k")).collect()
     assert all(r.k == fp[r.func_id].bands for r in keys)
 

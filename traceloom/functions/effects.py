@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,40 +204,58 @@ def syscall_result(counter: Column) -> Column:
 # ---- numpy -----------------------------------------------------------------------------------------------------------
 
 
-def np_tokens(kind, region, region_k, off, val, val_k, sym, nr) -> np.ndarray:
-    """Tokens of flat effect arrays (object arrays of text, int64 arrays with 0 for null), as uint64; 0 for unknown kinds."""
-    n = len(kind)
-    out = np.zeros(n, np.uint64)
+class Coded:
+    """A text column as numbers into its distinct values; null is -1. What depends on the text is looked up once per value."""
+
+    def __init__(self, column: pa.Array):
+        coded = pc.dictionary_encode(column)
+        self.codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+        self.names: list[str | None] = [*coded.dictionary.to_pylist(), None]  # the last place answers for -1
+
+    def take(self, at: np.ndarray) -> Coded:
+        out = object.__new__(Coded)
+        out.codes, out.names = self.codes[at], self.names
+        return out
+
+    def look(self, values: dict[str | None, int] | Callable[[str | None], int], kind: type = np.uint64) -> np.ndarray:
+        of = values if callable(values) else lambda x: values.get(x, 0)
+        return np.array([of(x) for x in self.names], kind)[self.codes]
 
-    def regions(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        r = region[at]
-        h = H.np_byte(h, np.array([C.REGION_TAGS.get(x, 0) for x in r], np.uint64) if len(r) else np.zeros(0, np.uint64))
-        arg = r == "arg"
-        h[arg] = H.np_word(h[arg], region_k[at][arg])
-        return h
 
-    def values(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        v = val[at]
-        h = H.np_byte(h, np.array([C.VALUE_TAGS.get(x, 0) for x in v], np.uint64) if len(v) else np.zeros(0, np.uint64))
-        kept = (v == "input") | (v == "input_deriv") | (v == "small_const")
-        h[kept] = H.np_word(h[kept], val_k[at][kept])
+def np_tokens(kind: Coded, region: Coded, region_k: np.ndarray, off: np.ndarray, val: Coded, val_k: np.ndarray, sym: Coded, nr: np.ndarray) -> np.ndarray:
+    """Tokens of flat effect arrays (int64 arrays with 0 for null), as uint64; 0 for unknown kinds."""
+    tags = kind.look(C.EFFECT_TAGS)
+    out = np.zeros(len(tags), np.uint64)
+    region_tag, in_arg = region.look(C.REGION_TAGS), region.look({"arg": 1}, bool)
+    value_tag, with_k = val.look(C.VALUE_TAGS), val.look(dict.fromkeys(("input", "input_deriv", "small_const"), 1), bool)
+
+    def tagged(h: np.ndarray, at: np.ndarray, tag: np.ndarray, more: np.ndarray, word: np.ndarray) -> np.ndarray:
+        h = H.np_byte(h, tag[at])
+        wide = more[at]
+        h[wide] = H.np_word(h[wide], word[at[wide]])
         return h
 
     for name, tag in C.EFFECT_TAGS.items():
-        at = np.flatnonzero(kind == name)
+        at = np.flatnonzero(tags == tag)
         if not len(at):
             continue
         h = H.np_byte(H.np_start(len(at)), tag)
         if name in ("write", "read", "new_region"):
-            h = regions(h, at)
+            h = tagged(h, at, region_tag, in_arg, region_k)
         if name in ("write", "read"):
             h = H.np_word(h, off[at])
         if name in ("write", "ret"):
-            h = values(h, at)
+            h = tagged(h, at, value_tag, with_k, val_k)
         if name == "syscall":
             h = H.np_word(h, nr[at] & 0xFFFFFFFF)
         if name == "call":
-            known = {s: H.py_fnv(bytes([tag, C.CALL_ANONYMOUS]) if s is None else bytes([tag, C.CALL_NAMED]) + s.encode()) for s in set(sym[at])}
-            h = np.array([known[s] for s in sym[at]], np.uint64)
+            spelled = lambda s: bytes([tag, C.CALL_ANONYMOUS]) if s is None else bytes([tag, C.CALL_NAMED]) + s.encode()  # noqa: B023, E731
+            h = sym.look(lambda s: H.py_fnv(spelled(s)))[at]
         out[at] = h
     return out
+
+
+def np_complexity(kind: Coded, val: Coded) -> np.ndarray:
+    """What each effect adds to its trace's complexity."""
+    told = kind.look({"ret": 1}, bool) & val.look(dict.fromkeys(C.COMPLEXITY_RET, 1), bool)
+    return np.where(told, 1, kind.look(C.COMPLEXITY, np.int64))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from traceloom import constants as C
@@ -37,26 +37,6 @@ def shingles(tokens: Column) -> Column:
     return let(tokens, of)
 
 
-def permuted(x: Column, slot: Column) -> Column:
-    """Value of a shingle under the permutation of a slot."""
-    a, b = permutations()
-    pick = lambda v: F.get(F.array(*(F.lit(int(k)) for k in v.view(np.int64))), slot)
-    v = H.wrap_add(H.wrap_mul(x, pick(a)), pick(b))
-    return v.bitwiseXOR(F.shiftrightunsigned(v, C.PERM_SHIFT))
-
-
-def slot_minima(shingled: DataFrame, key: str, shingle: str) -> DataFrame:
-    """``key``, ``slot``, ``value``: the unsigned minimum of every slot over the key's shingles.
-
-    The mergeable form: minima of parts combine by ``min`` again, and a key without shingles has no rows, so an empty
-    part can't pull a slot to zero. Also usable on streams.
-    """
-    slots = F.explode(F.sequence(F.lit(0), F.lit(C.SLOTS - 1)))
-    wide = shingled.where(F.col(shingle).isNotNull()).select(key, F.col(shingle).alias("_x"), slots.alias("slot"))
-    low = F.min(H.unsigned_order(permuted(F.col("_x"), F.col("slot"))))
-    return wide.groupBy(key, "slot").agg(low.alias("_v")).select(key, "slot", H.unsigned_order(F.col("_v")).alias("value"))
-
-
 def band_keys(sig: Column) -> Column:
     """The 32 keys of a signature: FNV-1a of each run of four slots. Equal runs in different bands have equal keys."""
     runs = F.sequence(F.lit(0), F.lit(C.BANDS - 1))
@@ -99,14 +79,16 @@ def decode_signature(blob: Column) -> Column:
 # ---- numpy -----------------------------------------------------------------------------------------------------------
 
 
-def np_shingles(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (trace number, shingle) of flat tokens whose traces have ``lengths``, sorted; windows never span traces."""
+def np_shingles(tokens: np.ndarray, lengths: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (trace number, shingle) of flat tokens whose traces have ``lengths``, sorted; windows never span traces.
+    With ``group`` (a number per trace) the shingles of a group's traces are united."""
     n = len(tokens)
     row = np.repeat(np.arange(len(lengths)), lengths)
     ones = H.np_mix(C.UNIGRAM, tokens, n=n)
     at = np.flatnonzero(row[2:] == row[:-2]) if n >= C.SHINGLE else np.zeros(0, np.int64)
     threes = H.np_mix(C.TRIGRAM, tokens[at], tokens[at + 1], tokens[at + 2], n=len(at))
-    return np_distinct(np.concatenate([row, row[at]]), np.concatenate([ones, threes]))
+    of = row if group is None else group[row]
+    return np_distinct(np.concatenate([of, of[at]]), np.concatenate([ones, threes]))
 
 
 def np_distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from traceloom import constants as C
 from traceloom.functions.signature import np_band_keys
+from traceloom.operators.shared import materialize
 
 FUNCS = "id bigint, binary string, name string, entry bigint, source string, complexity bigint, shingles bigint, capped boolean, sig array<bigint>"
 BANDS = "func_id bigint, band int, key bigint"
@@ -64,9 +65,11 @@ def derive_bands(funcs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Functions and the band index derived from their signatures; stored bands are never trusted."""
+    """Functions and the band index derived from their signatures. Reports never trust stored bands; ``stored`` holds
+    those of a corpus on disk, for lookups by ``matching.stored_candidates``."""
 
     funcs: DataFrame
+    stored: DataFrame | None = None
 
     @classmethod
     def of(cls, funcs: DataFrame) -> Corpus:
@@ -78,32 +81,43 @@ class Corpus:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Corpus:
-        return cls.of(spark.read.parquet(f"{path}/funcs"))
+        bands = spark.read.schema(BANDS).parquet(f"{path}/bands")
+        return cls(well_formed(spark.read.parquet(f"{path}/funcs")), bands)
 
     def write(self, path: str, buckets: int = 64) -> None:
-        """``path/funcs`` and ``path/bands``; the bands lie together by band and hash of the key for later joins."""
+        """``path/funcs`` and ``path/bands`` anew; see ``append`` for more rows."""
         self.funcs.write.mode("overwrite").parquet(f"{path}/funcs")
-        spread = self.bands.repartition(buckets, "band", "key").sortWithinPartitions("band", "key")
-        spread.write.mode("overwrite").parquet(f"{path}/bands")
+        _write_bands(self.bands, path, "overwrite", buckets)
 
 
-def append(spark: SparkSession, path: str, fingerprints: DataFrame) -> None:
-    """Append fingerprints without ids to a stored corpus, creating it if it is missing. Nothing is deduplicated.
+def _write_bands(bands: DataFrame, path: str, mode: str, buckets: int = 64) -> None:
+    """One folder per band, sorted by key, so that a lookup of some bands and keys reads few row groups."""
+    placed = bands.repartition(buckets, "band", "key").sortWithinPartitions("band", "key")
+    placed.write.mode(mode).partitionBy("band").parquet(f"{path}/bands")
 
-    New ids are larger than all old ones and grow in the order of the input's partitions; they may have gaps, which
-    keeps the numbering free of a global sort.
+
+def append(spark: SparkSession, path: str, fingerprints: DataFrame) -> int:
+    """Append fingerprints without ids to a stored corpus, creating it if it is missing; gives the number of rows written.
+
+    Nothing is deduplicated; rows that aren't well formed are skipped. New ids are larger than all old ones and grow in
+    the order of the input's partitions; they may have gaps, which keeps the numbering free of a global sort. The numbered
+    rows are stored once and both tables are written from them, bands first: what a failure leaves is a band of an id
+    that no function has, which lookups skip and later ids don't reuse. One writer at a time.
     """
     from pyspark.errors import AnalysisException
 
-    try:
-        last = spark.read.parquet(f"{path}/funcs").agg(F.max("id")).first()[0] or 0
-    except AnalysisException:
-        last = 0
+    last = 0
+    for table, column in (("funcs", "id"), ("bands", "func_id")):
+        try:
+            last = max(last, spark.read.parquet(f"{path}/{table}").agg(F.max(column)).first()[0] or 0)
+        except AnalysisException:  # no such table yet
+            continue
     cols = [c.split()[0] for c in FUNCS.split(", ")]
-    rows = fingerprints.withColumn("id", F.monotonically_increasing_id() + F.lit(last + 1)).select(*cols)
+    numbered = well_formed(fingerprints.withColumn("id", F.lit(None).cast("long"))).withColumn("id", F.monotonically_increasing_id() + F.lit(last + 1))
+    rows = materialize(numbered.select(*cols), "numbered")
+    _write_bands(derive_bands(rows), path, "append")
     rows.write.mode("append").parquet(f"{path}/funcs")
-    fresh = spark.read.parquet(f"{path}/funcs").where(F.col("id") > last)
-    derive_bands(fresh).write.mode("append").parquet(f"{path}/bands")
+    return rows.count()
 
 
 def stale_bands(funcs: DataFrame, stored: DataFrame) -> DataFrame:

@@ -2,27 +2,58 @@
 
 Rows of one signature are one class on either side, so a signature that a third of the corpus shares is compared once.
 Trivial functions fill the largest band buckets; they can't be anyone's match, so they only take part in the question
-whether a target has any candidate, and that one is asked of distinct (band, key).
+whether a target has any candidate, and that one is asked of distinct (band, key), for the targets that have no other.
+
+Signatures of classes and the pairs to be compared are stored once. Two classes with b equal bands agree in 4 b slots at
+least and in 96 + b at most, so only pairs that could still be the best of their target are compared slot by slot.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom import constants as C
 from traceloom.functions.signature import equal_slots
 from traceloom.operators.blocks import against_all
 from traceloom.operators.corpus import derive_bands, has_signal, is_known, well_formed
+from traceloom.operators.shared import materialize
+
+
+def _digests(*more: str | Column) -> list[str | Column]:
+    return [*more, F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), F.col("sig")).alias("h2")]
 
 
 def _classes(funcs: DataFrame, *keep: str) -> DataFrame:
     """One row per signature: the smallest id's fields as ``rep, *keep`` with ``h1, h2, sig``."""
-    rows = funcs.withColumns({"h1": F.xxhash64("sig"), "h2": F.xxhash64(F.lit(1), F.col("sig"))})
+    rows = funcs.select(*_digests("id", "sig", *keep))
     first = F.min_by(F.struct(F.col("id").alias("rep"), *keep), "id").alias("_f")
     return rows.groupBy("h1", "h2").agg(first, F.any_value("sig").alias("sig")).select("h1", "h2", "_f.*", "sig")
 
 
+def _bands(classes: DataFrame, name: str) -> DataFrame:
+    return derive_bands(classes.select(F.col("rep").alias("id"), "sig")).withColumnRenamed("func_id", name)
+
+
+def band_set(funcs: DataFrame) -> DataFrame:
+    """``band, key`` of all rows; a signature that a batch holds many times gives its keys once."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                both = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], axis=1)
+                first = np.unique(both, axis=0, return_index=True)[1]
+                yield b.select(["sig"]).take(pa.array(first))
+
+    sigs = funcs.select(*_digests("sig")).mapInArrow(once, "sig array<bigint>")
+    return derive_bands(sigs.select(F.lit(0).alias("id"), "sig")).select("band", "key")
+
+
 def candidates(target: DataFrame, corpus: DataFrame) -> DataFrame:
     """``target_id, func_id``: rows that share a key in the same band, each pair once. No gate applies.
 
@@ -32,42 +63,74 @@ def candidates(target: DataFrame, corpus: DataFrame) -> DataFrame:
     return t.join(derive_bands(well_formed(corpus)), ["band", "key"]).select("target_id", "func_id").distinct()
 
 
+def stored_candidates(target: DataFrame, funcs: DataFrame, bands: DataFrame) -> DataFrame:
+    """``target_id, func_id`` by a stored band index (``func_id, band, key``) instead of derived bands.
+
+    The index is taken as it is: rows delivered twice count once, ids without a well-formed row in ``funcs`` are skipped,
+    keys out of date find what they name.
+    """
+    t = derive_bands(well_formed(target)).withColumnRenamed("func_id", "target_id")
+    pairs = t.join(bands.select("band", "key", "func_id"), ["band", "key"]).select("target_id", "func_id").distinct()
+    return pairs.join(well_formed(funcs).select(F.col("id").alias("func_id")), "func_id", "left_semi").select("target_id", "func_id")
+
+
 def without_candidate(target: DataFrame, corpus: DataFrame) -> DataFrame:
     """Rows of ``target`` (with an ``id``) that share no band with any row of the corpus, gated or not."""
-    seen = derive_bands(well_formed(corpus)).select("band", "key").distinct()
-    hit = derive_bands(target).join(seen, ["band", "key"], "left_semi").select(F.col("func_id").alias("id")).distinct()
+    own = derive_bands(target)
+    # the corpus streams past the targets' keys
+    seen = band_set(well_formed(corpus)).join(own.select("band", "key").distinct(), ["band", "key"], "left_semi").distinct()
+    hit = own.join(seen, ["band", "key"], "left_semi").select(F.col("func_id").alias("id")).distinct()
     return target.join(hit, "id", "left_anti")
 
 
-def best_match(target: DataFrame, corpus: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Seekers:
+    """Targets with enough signal, ready for lookups in one or more corpora."""
+
+    rows: DataFrame
+    classes: DataFrame
+    bands: DataFrame
+
+
+def seek(target: DataFrame) -> Seekers:
+    """Prepare the rows of ``target`` with enough signal; malformed ones are skipped. Stores one row per signature."""
+    wanted = well_formed(target).where(has_signal())
+    classes = materialize(_classes(wanted), "seekers")
+    return Seekers(wanted.select(*_digests("id")), classes, _bands(classes, "t"))
+
+
+def best_match(target: DataFrame | Seekers, corpus: DataFrame) -> DataFrame:
     """For each row of ``target`` with enough signal its most similar known function of the corpus.
 
     Returns ``id, similarity, guess, from_binary, func_id``. The pool is the rows that share a band; only if no row at all
     does, it is the whole corpus (then also a similarity of 0 can win). Of the pool only rows with a name and complexity
     of at least 4 count; a target whose pool holds none has no row. Ties go to the smallest id. Malformed rows on either
-    side are skipped; copies of a target get a row each.
+    side are skipped; copies of a target get a row each. Building the plan runs jobs, as intermediate tables are stored.
     """
-    wanted = well_formed(target).where(has_signal())
-    seekers = _classes(wanted)
-    known = _classes(well_formed(corpus).where(is_known()), "name", "binary")
-
-    t = derive_bands(seekers.select(F.col("rep").alias("id"), "sig")).withColumnRenamed("func_id", "t")
-    c = derive_bands(known.select(F.col("rep").alias("id"), "sig")).withColumnRenamed("func_id", "c")
-    near = t.join(c, ["band", "key"]).select("t", "c").distinct()
-    sig_t = seekers.select(F.col("rep").alias("t"), F.col("sig").alias("sig_t"))
+    seekers = target if isinstance(target, Seekers) else seek(target)
+    whole = well_formed(corpus)
+    known = materialize(_classes(whole.where(is_known()), "name", "binary"), "known")
+
+    pairs = seekers.bands.join(_bands(known, "c"), ["band", "key"]).groupBy("t", "c").agg(F.count("*").cast("int").alias("b"))
+    most = F.max("b").over(Window.partitionBy("t"))
+    open_ = pairs.withColumn("most", most).where(F.col("b") + (C.SLOTS - C.BANDS) >= F.col("most") * C.BAND_ROWS)
+    near = materialize(open_.select("t", "c"), "near")
+    sig_t = seekers.classes.select(F.col("rep").alias("t"), F.col("sig").alias("sig_t"))
     sig_c = known.select(F.col("rep").alias("c"), F.col("sig").alias("sig_c"))
-    scored = near.join(sig_t, "t").join(sig_c, "c").select("t", "c", equal_slots(F.col("sig_t"), F.col("sig_c")).alias("equal"))
+    best = near.join(sig_t, "t").join(sig_c, "c").select("t", "c", equal_slots(F.col("sig_t"), F.col("sig_c")).alias("equal"))
 
-    lost = without_candidate(seekers.select(F.col("rep").alias("id"), "sig"), corpus)
-    asked = lost.select(F.col("id").alias("q"), "sig", F.lit(C.SLOTS).alias("bar"), F.lit(0).alias("bar_place"))
-    scanned = against_all(asked, known.select(F.col("rep").alias("place"), "sig"))
-    scanned = scanned.select(F.col("q").alias("t"), F.col("top_place").alias("c"), F.col("top_equal").cast("int").alias("equal"))
+    alone = seekers.classes.join(near.select(F.col("t").alias("rep")).distinct(), "rep", "left_anti").select(F.col("rep").alias("id"), "sig")
+    if not alone.isEmpty():
+        # rows that can't be a match still tell that a target has a candidate
+        rest = whole.where(~F.coalesce(is_known(), F.lit(False)))
+        lost = without_candidate(materialize(alone, "alone"), rest)
+        asked = lost.select(F.col("id").alias("q"), "sig", F.lit(C.SLOTS).alias("bar"), F.lit(0).alias("bar_place"))
+        scanned = against_all(asked, known.select(F.col("rep").alias("place"), "sig"))
+        best = best.unionByName(scanned.select(F.col("q").alias("t"), F.col("top_place").alias("c"), F.col("top_equal").cast("int").alias("equal")))
 
     order = F.struct((-F.col("equal")).alias("e"), F.col("c"))
-    best = scored.unionByName(scanned).groupBy("t").agg(F.min(order).alias("_b"))
-    best = best.select("t", F.col("_b.c").alias("c"), (-F.col("_b.e")).alias("equal"))
+    first = best.groupBy("t").agg(F.min(order).alias("_b")).select("t", F.col("_b.c").alias("c"), (-F.col("_b.e")).alias("equal"))
     names = known.select(F.col("rep").alias("c"), F.col("name").alias("guess"), F.col("binary").alias("from_binary"))
-    best = best.join(names, "c").join(seekers.select(F.col("rep").alias("t"), "h1", "h2"), "t")
-    rows = wanted.select("id", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), F.col("sig")).alias("h2"))
+    found = first.join(names, "c").join(seekers.classes.select(F.col("rep").alias("t"), "h1", "h2"), "t")
     similarity = (F.col("equal") / F.lit(C.SLOTS)).alias("similarity")
-    return rows.join(best, ["h1", "h2"]).select("id", similarity, "guess", "from_binary", F.col("c").alias("func_id"))
+    return seekers.rows.join(found, ["h1", "h2"]).select("id", similarity, "guess", "from_binary", F.col("c").alias("func_id"))

@@ -16,7 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    # local-cluster has executors of its own, though on one machine
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL_ROOT:
         keep = tempfile.TemporaryDirectory(prefix="traceloom-")
@@ -25,32 +26,52 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/traceloom/{spark.sparkContext.applicationId}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def store(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As ``materialize``, with the table's path for ``discard``."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    # the whole folder goes when the driver's JVM ends, however it ends normally
+    files, folder = _file_system(spark, _folder(spark))
+    files.deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage, survives the loss of executors and lets several later jobs read one result.
+    Cuts the lineage, survives the loss of executors and lets several later jobs read one result. The table stays until
+    ``release`` or the end of the application, since results that are still to be computed read it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/traceloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return store(df, tag)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many partitions as the cluster has cores, if its scan gives fewer.
+    """``df`` over as many partitions as the cluster has cores, if it has fewer. Meant for what is read from a table.
 
     For work that costs far more per row than moving the row: one small file would keep all of it on one core. Inputs
-    that fill the cluster by themselves aren't moved, nor are those that a shuffle has already spread.
+    that fill the cluster by themselves aren't moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    planned = df._jdf.queryExecution()
-    if "Exchange" in planned.executedPlan().toString():
-        return df
-    return df.repartition(cores) if planned.toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def release(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder; results that still read them must be finished."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/traceloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, _folder(spark))

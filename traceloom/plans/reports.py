@@ -12,7 +12,8 @@ from traceloom.functions.hashing import unsigned_order
 from traceloom.functions.signature import equal_slots, similarity
 from traceloom.operators.blocks import against_all
 from traceloom.operators.corpus import has_signal, is_known, well_formed
-from traceloom.operators.matching import best_match
+from traceloom.operators.matching import best_match, seek
+from traceloom.operators.numbering import number_rows
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -95,8 +96,9 @@ def triage(
     has similarity 0 and an empty name.
     """
     rows = well_formed(target).where(has_signal()).select("id", "entry")
+    seekers = seek(target)
     for tag, corpus in (("vuln", vuln), ("patched", patched)):
-        best = best_match(target, corpus).select("id", F.col("similarity").alias(f"{tag}_similarity"), F.col("guess").alias(f"{tag}_name"))
+        best = best_match(seekers, corpus).select("id", F.col("similarity").alias(f"{tag}_similarity"), F.col("guess").alias(f"{tag}_name"))
         rows = rows.join(best, "id", "left").fillna(0.0, [f"{tag}_similarity"]).fillna("", [f"{tag}_name"])
     v, p = F.col("vuln_similarity"), F.col("patched_similarity")
     out = rows.withColumns({"verdict": verdict(v, p, min_similarity, margin), "lead": v - p})
@@ -122,16 +124,11 @@ def evaluate_ranks(a: DataFrame, b: DataFrame, order: str = "id") -> DataFrame:
     """Every named row of A with enough signal and a namesake in B, ranked against all of B by similarity.
 
     Returns ``id, name, rank, top_name, top_similarity``. Ties keep B's order (``order``); ``rank`` is the place of the first
-    namesake. Nothing is deduplicated. A is the query set and passes all of B in blocks.
+    namesake. Nothing is deduplicated. A is the query set and passes all of B in blocks. Building the plan runs jobs.
     """
     rows_b = well_formed(b).where(is_known() & (F.col("shingles") > 0))
     rows_a = well_formed(a).where(is_known() & has_signal()).join(rows_b.select("name").distinct(), "name", "left_semi")
-    # place of every row of B in its order, without a global window over rows
-    rows_b = rows_b.select("id", "name", "sig", F.col(order).alias("pos"), F.floor(F.col(order) / 65536).alias("_k"))
-    before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows_b.groupBy("_k").count().select("_k", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_k").orderBy("pos", "id"))
-    places = rows_b.withColumn("_i", inside).join(offsets, "_k").select("name", "sig", (F.col("_before") + F.col("_i")).alias("place"))
+    places = number_rows(rows_b.select("name", "sig", F.col(order).alias("_o"), F.col("id").alias("_id")), "_o", "_id").select("name", "sig", "place")
 
     # of namesakes with one signature the first can be the best
     twins = places.groupBy("name", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), F.col("sig")).alias("h2")).agg(
@@ -174,9 +171,10 @@ def evaluate(ranks: DataFrame, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
 def dump(traces: DataFrame, funcs: DataFrame, name: str) -> DataFrame:
     """``path, line_no, line``: the traces of the first function of that name (lowest entry), one line per effect after a header."""
     first = funcs.where(F.col("name") == name).orderBy(unsigned_order(F.col("entry")), "id").limit(1).select(F.col("id").alias("func_id"))
-    runs = traces.join(F.broadcast(first), "func_id").select("trace_id", "seed_ix", "effects", "instret", "capped")
-    path = F.row_number().over(Window.orderBy("seed_ix", "trace_id")) - 1
+    runs = traces.join(F.broadcast(first), "func_id").select("func_id", "trace_id", "seed_ix", "effects", "instret", "capped")
+    path = F.row_number().over(Window.partitionBy("func_id").orderBy("seed_ix", "trace_id")) - 1
     runs = runs.withColumn("path", path).withColumn("_e", F.coalesce(in_order(F.col("effects")), F.array().cast(runs.schema["effects"].dataType)))
+    # fixed value: the form of the header
     head = F.format_string("-- path %d (%d effects, instret %d, capped %s) --", "path", F.size("_e"), "instret", F.col("capped").cast("string"))
     lines = F.concat(F.array(head), F.transform("_e", lambda e: F.concat(F.lit("   "), render.effect_text(e))))
     return runs.select("path", F.posexplode(lines).alias("line_no", "line")).withColumn("line", render.escape(F.col("line")))
