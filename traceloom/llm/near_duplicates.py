@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.binding import let
-from traceloom.operators.shared import materialize
+from traceloom.operators.shared import discard, materialize, store
 
 SLOTS = 128
 MIN_AGREE = 113
@@ -273,12 +273,14 @@ def near_duplicate_groups(funcs: DataFrame, min_agree: int = MIN_AGREE) -> DataF
         return out.where("u > v").distinct()
 
     sum_of = F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))
-    edges, last = materialize(links.distinct(), "links"), None
+    (edges, path), last = store(links.distinct(), "links"), None
     while True:
         mark = edges.agg(F.count("*"), sum_of).first()
         if mark == last:
             break
-        edges, last = materialize(star(star(edges, True), False), "links"), mark
+        (edges, fresh), last = store(star(star(edges, True), False), "links"), mark
+        discard(funcs.sparkSession, path)  # the new round is stored, nothing reads the old one
+        path = fresh
     roots = reps.join(edges.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
     roots = roots.select("h1", "h2", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"))
     rows = with_digest(eligible(funcs).select("id", "sig")).select("h1", "h2", "id")

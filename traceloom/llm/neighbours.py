@@ -41,6 +41,8 @@ BEAM = 32
 #: Rows of a block; longer lists are cut. Lengths are estimated from one distinct signature in LENGTH_SAMPLE.
 BLOCK = 4096
 LENGTH_SAMPLE = 16
+#: Tasks for units of long lists, beside the usual ones.
+MOST_TASKS = 20_000
 BYTES = 3 * SLOTS
 
 
@@ -306,7 +308,10 @@ def similar_classes(classes: DataFrame, centroids: np.ndarray, least: int, k: in
             yield out([partners(held_parts)])
 
     stored = classes.select("rep", "code").mapInArrow(store, "list int, unit int, block int, rep bigint, code binary")
-    by_list = stored.repartition("list", "unit").sortWithinPartitions("list", "unit", "block")
+    # units cost far more than their bytes tell, so their number of tasks is set, not left to the sizes
+    units = int((blocks * (blocks + 1) // 2)[blocks > 1].sum())
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) + min(units, MOST_TASKS)
+    by_list = stored.repartition(tasks, "list", "unit").sortWithinPartitions("list", "unit", "block")
     found = by_list.mapInArrow(search, "x bigint, y bigint, agree int")
     best = Window.partitionBy("x").orderBy(F.col("agree").desc(), "y")
     ranked = found.withColumn("_r", F.dense_rank().over(best)).where(F.col("_r") <= k)

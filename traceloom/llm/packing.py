@@ -12,15 +12,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.tokenize import count_tokens
+from traceloom.operators.numbering import constants
 from traceloom.operators.shared import materialize
 
 BUCKETS = 256
@@ -110,11 +111,6 @@ def plan_batches(bounds: np.ndarray, counts: np.ndarray, capacity: int, top_up:
     return Plan(*cols, base)
 
 
-def _table(values: Iterable[int]) -> Column:
-    """A constant array of numbers; one text literal that the optimizer folds, whatever its length."""
-    return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<int>")
-
-
 def pieces(sizes: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     """Items from sized texts: a text within the capacity is one item, a larger one is cut into full pieces and a rest."""
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"int((n_tokens - 1) div {capacity})"))))
@@ -148,8 +144,8 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", buckets: int =
 
     total = sum(hist.values())
     parts = max(1, -(-total // PART_ITEMS))
-    bound_of = _table([0, *bounds])
-    bucket_no = _table(np.where(np.arange(capacity + 1) > 0, np.searchsorted(bounds, np.arange(capacity + 1)) + 1, 0) if len(bounds) else [0])
+    bound_of = constants([0, *bounds.tolist()], "int")
+    bucket_no = constants([0, *(np.searchsorted(bounds, np.arange(1, capacity + 1)) + 1).tolist()] if len(bounds) else [0], "int")
     tagged = items.withColumns(
         {
             "_b": F.coalesce(F.get(bucket_no, F.col("size").cast("int")), F.lit(0)),
