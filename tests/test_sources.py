@@ -4,46 +4,19 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from samples import BASE, TRACES, func, funcs, sig, traces
+from samples import BASE, TRACES, UNRELATED, effect, func, funcs, numbered, sig, traces, write
 from traceloom import __main__ as cli
 from traceloom.constants import signed
 from traceloom.functions import effects as E
 from traceloom.functions import render
+from traceloom.operators import corpus, fingerprint
 from traceloom.plans import index, reports
-from traceloom.sources import elf, image
+from traceloom.sources import elf, elf_build, image
 from traceloom.streaming import ingest
 
 
-def build_elf(symbols=(), dynamic=(), loads=None, eh=b"", machine=62, eh_addr=0x500000):
-    """A little file: header, program headers, code, string and symbol tables, unwind section, section headers."""
-    loads = loads if loads is not None else [(0x401000, 0x2000)]
-    names, tables = b"\0", []
-    for group in (symbols, dynamic):
-        raw = b"\0" * 24
-        for name, value, size, kind in group:
-            at = len(names) if name else 0
-            names += (name.encode() + b"\0") if name else b""
-            raw += struct.pack("<IBBHQQ", at, kind, 0, 1, value, size)
-        tables.append(raw)
-    shnames = b"\0.eh_frame\0.rest\0"
-    body = b"\x90" * 64
-    at = 64 + 56 * len(loads)
-    offsets, blob = [], b""
-    for part in (body, names, tables[0], tables[1], eh, shnames):
-        offsets.append(at + len(blob))
-        blob += part
-    ph = b"".join(struct.pack("<IIQQQQQQ", 1, 5, offsets[0], v, v, min(64, m), m, 4096) for v, m in loads)
-    sh = struct.pack("<IIQQQQIIQQ", *[0] * 10)
-    sh += struct.pack("<IIQQQQIIQQ", 11, 3, 0, 0, offsets[1], len(names), 0, 0, 1, 0)
-    if symbols:
-        sh += struct.pack("<IIQQQQIIQQ", 11, 2, 0, 0, offsets[2], len(tables[0]), 1, 0, 8, 24)
-    if dynamic:
-        sh += struct.pack("<IIQQQQIIQQ", 11, 11, 0, 0, offsets[3], len(tables[1]), 1, 0, 8, 24)
-    sh += struct.pack("<IIQQQQIIQQ", 1, 1, 2, eh_addr, offsets[4], len(eh), 0, 0, 8, 0)
-    sh += struct.pack("<IIQQQQIIQQ", 11, 3, 0, 0, offsets[5], len(shnames), 0, 0, 1, 0)
-    n = len(sh) // 64
-    head = b"\x7fELF\2\1\1" + bytes(9) + struct.pack("<HHIQQQIHHHHHH", 3, machine, 1, 0x401000, 64, at + len(blob), 0, 64, 56, len(loads), 64, n, n - 1)
-    return head + ph + blob + sh
+def build_elf(symbols=(), dynamic=(), loads=((0x401000, 0x2000),), eh=b"", machine=62):
+    return elf_build.build(symbols, dynamic, loads, eh, machine)
 
 
 def unwind(entry, size, eh_addr=0x500000):
@@ -193,18 +166,47 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    funcs(spark, [func(1, 3, "f\x1b"), func(2, 999, "g")]).write.parquet(str(tmp_path / "functions"))
-    traces(spark, [(1, 1, BASE, False), (2, 2, BASE[:4], False)]).withColumns({"seed_ix": F.lit(0), "instret": F.lit(1)}).write.parquet(str(tmp_path / "traces"))
-    f, t, c = (str(tmp_path / x) for x in ("functions", "traces", "corpus"))
+    one, two = [func(1, 3, "f\x1b"), func(2, 999, "g"), func(3, 999, "h")], [func(1, 3, "f\x1b"), func(2, 3, "k", binary="z")]
+    seeded = {"seed_ix": F.lit(0), "instret": F.lit(1)}
+    for name, rows, made in (("one", one, [(1, 1, BASE, False), (2, 2, BASE[:4], False), (3, 3, BASE, False)]), ("two", two, [(1, 1, BASE, False), (2, 2, UNRELATED, False)])):
+        funcs(spark, rows).write.parquet(str(tmp_path / name / "functions"))
+        traces(spark, made).withColumns(seeded).write.parquet(str(tmp_path / name / "traces"))
+    at = lambda *x: str(tmp_path.joinpath(*x))
+    f, t, c = at("one", "functions"), at("one", "traces"), at("corpus")
     cli.main(["index", f, t, "-o", c])
-    cli.main(["match", c, c])
-    cli.main(["query", c, "--corpus", c])
-    cli.main(["eval", c, c])
-    cli.main(["triage", c, "--vuln", c, "--patched", c])
+    cli.main(["index", at("two", "functions"), at("two", "traces"), "-o", c, "--binary", "second"])
+    kept = corpus.Corpus.read(spark, c)
+    assert sorted((r.binary, r.name) for r in kept.funcs.collect()) == [("b", "f\x1b"), ("b", "g"), ("b", "h"), ("second", "f\x1b"), ("second", "k")]
+    assert kept.size() == kept.funcs.select("id").distinct().count() == 5 and not kept.is_empty()
+    assert kept.stored.count() == 5 * 32 and corpus.missing_bands(kept.funcs, kept.stored).count() == corpus.stale_bands(kept.funcs, kept.stored).count() == 0
+    cli.main(["index", f, t, "-o", at("other")])
+    cli.main(["match", at("other"), c])
+    cli.main(["query", at("other"), "--corpus", c])
+    cli.main(["query", at("other"), "--corpus", c, "--threshold", "1.5"])
+    cli.main(["eval", at("other"), c])
+    cli.main(["triage", at("other"), "--vuln", c, "--patched", c])
     cli.main(["dump", f, t, "g"])
     out = capsys.readouterr().out
-    for text in ("2 functions, 2 named, 2 with enough signal", "compared: 2", "100.0%  f\\x1b  (b)", "rank1: 2", "inconclusive: 2", "NewRegion(Arg(0))"):
-        assert text in out
+    for text in ("indexed 3: 3 with a name", "appended 3 to", "appended 2 to", "compared: 3 (same 3", "only in " + c + ": 1", "100.0%  f\\x1b  (b)", "reaches 1.50", "rank1_accuracy: ", "inconclusive: 3", "NewRegion(Arg(0))"):
+        assert text in out, text
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin" / "own.so").write_bytes(build_elf(symbols=[("f", 0x401000, 4, FUNC), ("g", 0x401010, 4, FUNC)]))
+    stored = traces(spark, [(1, 1, BASE, False)]).select(F.lit("own.so").alias("binary"), F.lit(0x401000).cast("long").alias("entry"), "effects", "capped")
+    stored.write.parquet(at("stored"))
+    cli.main(["index", at("bin"), at("stored"), "-o", at("fresh")])
+    assert [(r.binary, r.name, r.shingles) for r in corpus.Corpus.read(spark, at("fresh")).funcs.collect()] == [("own.so", "f", 22)]
+
+
+def test_index_from_an_access_log(spark):
+    data = build_elf(symbols=[("f", 0x401000, 4, FUNC), ("g", 0x401010, 4, FUNC)])
+    functions, segments, _ = elf.split(elf.parse_files(spark.createDataFrame([("x/own.so", data)], "path string, content binary")))
+    ddl = "binary string, entry bigint, seed_ix int, step bigint, event string, instret bigint, addr bigint, size int, value bigint, insn string, target bigint, nr bigint"
+    rows = [("own.so", 0x401000, s, *x) for s in (0, 1) for x in [(0, "insn", 1, 0x401000, 8, 0, "call", 0x401010, None), (1, "write", 1, 0x401100, 8, 0, None, None, None), (2, "write", 1, 0x70000000, 8, 5, None, None, None), (3, "insn", 2, 0x401004, 8, 0, "call", 0x999, None)]]
+    rows += [("other.so", 0x401000, 0, 0, "insn", 1, 0, 8, 0, "plain", None, None), ("own.so", 0x401010, 0, 0, "insn", 1, 0, 8, 0, "plain", None, None)]
+    got = {r.name: r for r in index.index_functions(functions, segments, index.log_provider(spark.createDataFrame(rows, ddl))).collect()}
+    assert set(got) == {"f", "g"} and got["g"].shingles == 0
+    told = numbered([effect("call", sym="g"), effect("new_region", region="global"), write("global", 0, "zero"), effect("new_region", region="heapish"), write("heapish", 0, "small_const", 5), effect("call")])
+    assert got["f"].sig == fingerprint.fingerprints(traces(spark, [(1, 1, told, False)])).first().sig
 
 
 def test_instruction_columns(spark):

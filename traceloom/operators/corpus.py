@@ -79,20 +79,27 @@ class Corpus:
     def bands(self) -> DataFrame:
         return derive_bands(self.funcs)
 
+    def size(self) -> int:
+        return self.funcs.count()
+
+    def is_empty(self) -> bool:
+        return self.funcs.isEmpty()
+
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Corpus:
         bands = spark.read.schema(BANDS).parquet(f"{path}/bands")
         return cls(well_formed(spark.read.parquet(f"{path}/funcs")), bands)
 
-    def write(self, path: str, buckets: int = 64) -> None:
+    def write(self, path: str) -> None:
         """``path/funcs`` and ``path/bands`` anew; see ``append`` for more rows."""
         self.funcs.write.mode("overwrite").parquet(f"{path}/funcs")
-        _write_bands(self.bands, path, "overwrite", buckets)
+        _write_bands(self.bands, path, "overwrite")
 
 
-def _write_bands(bands: DataFrame, path: str, mode: str, buckets: int = 64) -> None:
-    """One folder per band, sorted by key, so that a lookup of some bands and keys reads few row groups."""
-    placed = bands.repartition(buckets, "band", "key").sortWithinPartitions("band", "key")
+def _write_bands(bands: DataFrame, path: str, mode: str) -> None:
+    """One folder per band, sorted by key, so that a lookup of some bands and keys reads few row groups. The ranges follow
+    the data's size, so small appends write few files."""
+    placed = bands.repartitionByRange("band", "key").sortWithinPartitions("band", "key")
     placed.write.mode(mode).partitionBy("band").parquet(f"{path}/bands")
 
 

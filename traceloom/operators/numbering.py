@@ -22,9 +22,13 @@ def number_rows(df: DataFrame, *order: str | Column) -> DataFrame:
     on the driver) give where each begins. The rows are stored in between, so both steps see the same ranges. Runs jobs
     when the plan is built.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return number_as_is(df.repartitionByRange(*order).sortWithinPartitions(*order))
+
+
+def number_as_is(df: DataFrame) -> DataFrame:
+    """``df`` with ``place``, counted from 1 in the order that its rows have, as after ``orderBy``."""
     # the upper bits name the task, the lower 33 count its rows
-    held = materialize(ranged.withColumn("_n", F.monotonically_increasing_id()), "ranged")
+    held = materialize(df.withColumn("_n", F.monotonically_increasing_id()), "ranged")
     task = F.shiftright("_n", 33).cast("int")
     sizes = {r.t: r["count"] for r in held.groupBy(task.alias("t")).count().collect()}
     before = list(accumulate((sizes.get(t, 0) for t in range(max(sizes, default=0))), initial=0))

@@ -26,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
-def _folder(spark: SparkSession) -> str:
+def work_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the application ends."""
     return f"{shared_dir(spark)}/traceloom/{spark.sparkContext.applicationId}"
 
 
@@ -39,10 +40,10 @@ def _file_system(spark: SparkSession, path: str):
 def store(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """As ``materialize``, with the table's path for ``discard``."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # the whole folder goes when the driver's JVM ends, however it ends normally
-    files, folder = _file_system(spark, _folder(spark))
+    files, folder = _file_system(spark, work_folder(spark))
     files.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -74,4 +75,4 @@ def spread(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder; results that still read them must be finished."""
-    discard(spark, _folder(spark))
+    discard(spark, work_folder(spark))

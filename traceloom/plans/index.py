@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +25,31 @@ def from_traces(functions: DataFrame, traces: DataFrame) -> DataFrame:
     return functions.select("func_id", *cols).join(fp, "func_id").select(F.col("func_id").alias("id"), *cols, "complexity", "shingles", "capped", "sig")
 
 
-def log_provider(log: DataFrame) -> TraceProvider:
-    """Traces from a stored access log whose ``run`` is a function and whose ``seed_ix`` its run."""
+def traces_provider(traces: DataFrame) -> TraceProvider:
+    """Stored traces (``binary, entry, effects, capped``) of the functions that are found in the files."""
 
     def provide(functions: DataFrame, segments: DataFrame) -> DataFrame:
-        wanted = log.join(functions.select(F.col("func_id").alias("_f")), F.col("func_id") == F.col("_f"), "left_semi")
-        keyed = wanted.withColumn("run", F.xxhash64("func_id", "seed_ix"))
+        return traces.join(functions.select("binary", "entry", "func_id"), ["binary", "entry"]).select("func_id", "effects", "capped")
+
+    return provide
+
+
+def log_provider(log: DataFrame, named: DataFrame | None = None) -> TraceProvider:
+    """Traces from a stored access log (``access_log.LOG`` without ``run``, ``in_segment`` and ``sym``) with ``binary, entry,
+    seed_ix`` and ``target``, where a direct call goes.
+
+    Which addresses lie in the binary comes from its segments, the names of called functions from its functions (or from
+    ``named``). A function without a row in the log has no trace.
+    """
+
+    def provide(functions: DataFrame, segments: DataFrame) -> DataFrame:
+        own = log.join(functions.select("binary", "entry", "func_id"), ["binary", "entry"]).drop("entry")
+        placed = elf.in_segments(own, segments).drop("segment")
+        keyed = elf.name_calls(placed, functions if named is None else named).withColumn("run", F.xxhash64("func_id", "seed_ix"))
         made = effects_from_log(keyed)
         fields = [c for c in made.columns if c != "run"]
         lists = made.groupBy("run").agg(F.collect_list(F.struct(*fields)).alias("effects"), F.bool_or(F.col("kind") == "capped").alias("capped"))
-        return lists.join(keyed.select("run", "func_id").distinct(), "run").drop("run")
+        return keyed.select("run", "func_id").distinct().join(lists, "run", "left").drop("run")
 
     return provide
 
@@ -41,15 +57,25 @@ def log_provider(log: DataFrame) -> TraceProvider:
 def index_files(spark: SparkSession, path: str, provider: TraceProvider, strict: bool = True) -> DataFrame:
     """Index of the executable files at ``path``: discover functions, keep those with code, trace, fingerprint."""
     functions, segments, _ = elf.read(spark, path, strict)
+    return index_functions(functions, segments, provider)
+
+
+def index_functions(functions: DataFrame, segments: DataFrame, provider: TraceProvider) -> DataFrame:
+    """As ``index_files``, from functions and segments that have been read."""
     found = elf.indexable(functions, segments).withColumn("func_id", F.xxhash64("binary", "entry"))
     return from_traces(found, provider(found, segments))
 
 
+def as_index(stored: DataFrame) -> DataFrame:
+    """Functions of a corpus image as an index: bad signatures are an error, every source reads symtab."""
+    return corpus.checked(stored).withColumn("source", F.lit("symtab"))
+
+
 def load_index(spark: SparkSession, path: str, provider: TraceProvider | None = None) -> DataFrame:
     """An index by the form of ``path``: a corpus image (``.db``, every source then reads symtab), a folder written by
     ``Corpus.write``, or executable files, which need a provider."""
-    if path.endswith(".db"):
-        return corpus.checked(image.read(spark, path)).withColumn("source", F.lit("symtab"))
+    if PurePosixPath(path).suffix == ".db":
+        return as_index(image.read(spark, path))
     if provider is None:
         return corpus.Corpus.read(spark, path).funcs
     return index_files(spark, path, provider)

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
-from traceloom import constants as C
-
 TWO64 = 1 << 64
 
 
+class C:
+    """Fixed values, stated apart from those of the engine so that a wrong one there shows."""
+
+    FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
+    EFFECT_TAGS = {"write": 1, "new_region": 2, "call": 3, "syscall": 4, "branch": 5, "ret": 6, "capped": 7, "read": 8}
+    CALL_NAMED, CALL_ANONYMOUS = 1, 2
+    REGION_TAGS = {"arg": 10, "stack": 11, "heapish": 12, "global": 13}
+    VALUE_TAGS = {"input": 20, "input_deriv": 21, "zero": 22, "small_const": 23, "big_const": 24, "unknown": 25}
+    UNIGRAM, TRIGRAM, SLOTS, BANDS = 1, 3, 128, 32
+    PERM_A = (
+        0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
+    )
+    PERM_B = (
+        0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x2545F4914F6CDD1D,
+    )
+    PERM_A_ADD, PERM_B_STEP, PERM_SHIFT = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D, 29
+    CHANGES_SHOWN = 40
+    ARG_BASE, ARG_STRIDE, ARG_SIZE = 0x10_0000_0000, 0x1_0000_0000, 0x8000
+    STACK_START = 0x20_0000_0000 + 0x2_0000
+
+
+
 # ---- building blocks -------------------------------------------------------------------------------------------------
 
 
@@ -73,9 +93,11 @@ _PERM = ", ".join(
     f"({i}, {((C.PERM_A[i % 8] * (i | 1) + C.PERM_A_ADD) % TWO64) | 1}::UHUGEINT, {(C.PERM_B[i % 8] + i * C.PERM_B_STEP) % TWO64}::UHUGEINT)" for i in range(C.SLOTS)
 )
 _SAME_EFFECT = " AND ".join(f"e.{c} IS NOT DISTINCT FROM d.{c}" for c in FIELDS.split(", "))
-FINGERPRINTS = f"""
-WITH {EFFECTS},
-d AS MATERIALIZED (SELECT {_KEY}::VARCHAR AS k, {_fnv(TOKEN_BYTES)} AS h FROM {DISTINCT}),
+def fingerprints(source: str = "traces", key: str = "func_id") -> str:
+    """Fingerprint of every key of a relation with ``trace_id``, a key, ``effects`` and ``capped``."""
+    return f"""
+WITH src AS (SELECT trace_id, {key} AS func_id, effects, capped FROM {source}), {EFFECTS.replace("FROM traces", "FROM src")},
+d AS MATERIALIZED (SELECT {_KEY}::VARCHAR AS k, {_fnv(TOKEN_BYTES)} AS h FROM {DISTINCT.replace("FROM traces", "FROM src")}),
 tok AS (SELECT trace_id, func_id, list(h ORDER BY seq) AS l FROM (SELECT trace_id, func_id, seq, {_KEY}::VARCHAR AS k FROM e) JOIN d USING (k) GROUP BY ALL),
 w AS (
   SELECT func_id, unnest(list_transform(l, lambda t: [{C.UNIGRAM}::UHUGEINT, t])) AS g FROM tok
@@ -90,7 +112,7 @@ m AS (SELECT func_id, slot, min(v) AS v FROM w JOIN v USING (g) GROUP BY ALL),
 s AS (SELECT func_id, md5(string_agg({_i('v')}::VARCHAR, ',' ORDER BY slot)) AS sig_md5 FROM m GROUP BY func_id),
 n AS (SELECT func_id, count(DISTINCT g) AS n FROM w GROUP BY func_id),
 c AS (SELECT func_id, max(c) AS c FROM (SELECT trace_id, func_id, sum({WEIGHT})::BIGINT AS c FROM e GROUP BY ALL) GROUP BY func_id),
-f AS (SELECT func_id, bool_or(coalesce(capped, false)) AS capped FROM traces GROUP BY func_id)
+f AS (SELECT func_id, bool_or(coalesce(capped, false)) AS capped FROM src GROUP BY func_id)
 SELECT func_id, coalesce(c, 0)::BIGINT AS complexity, coalesce(n, 0)::BIGINT AS shingles, capped,
   coalesce(sig_md5, md5(array_to_string(list_transform(range({C.SLOTS}), lambda i: '0'), ','))) AS sig_md5
 FROM f LEFT JOIN s USING (func_id) LEFT JOIN n USING (func_id) LEFT JOIN c USING (func_id)
@@ -178,14 +200,14 @@ SELECT scored, rank1::BIGINT AS rank1, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::B
 
 LOG = f"""
 l0 AS (
-  SELECT user_id % 25 AS run, event_id AS step, event_id AS k,
+  SELECT CASE WHEN user_id % 2 = 0 THEN user_id % 25 ELSE 99 END AS run, event_id AS step, event_id AS k,
     CASE WHEN event_type = 'click' THEN 'read' WHEN event_type IN ('view', 'signup') THEN 'write' ELSE 'insn' END AS event FROM events WHERE event_id IS NOT NULL
 ), l1 AS (
   SELECT *, CASE WHEN event = 'insn' THEN {0x400000} + k % 64 WHEN k % 5 < 2 THEN {C.ARG_BASE} + (k % 6) * {C.ARG_STRIDE} + (k * 40) % 4096
-    WHEN k % 5 = 2 THEN {C.STACK_START} + k % 128 - 64 WHEN k % 5 = 3 THEN {0x400000} + k % 512 ELSE {0x7000_0000} + (k * 4093) % 400000 END AS addr,
+    WHEN k % 5 = 2 THEN {C.STACK_START} + k % 128 - 64 WHEN k % 5 = 3 THEN {0x400000} + k % 512 ELSE {0x7000_0000} + (k * 4093) % 4000000 END AS addr,
     CASE WHEN event <> 'insn' THEN CASE WHEN k % 5 < 2 THEN 'arg' WHEN k % 5 = 2 THEN 'stack' WHEN k % 5 = 3 THEN 'global' ELSE 'heapish' END END AS region,
     CASE WHEN event <> 'insn' AND k % 5 < 2 THEN (k % 6)::INTEGER END AS region_k,
-    CASE WHEN k % 5 < 2 THEN (k * 40) % 4096 WHEN k % 5 = 3 THEN 0 ELSE ({0x7000_0000} + (k * 4093) % 400000) % 4096 END AS o
+    CASE WHEN k % 5 < 2 THEN (k * 40) % 4096 WHEN k % 5 = 3 THEN 0 ELSE ({0x7000_0000} + (k * 4093) % 4000000) % 4096 END AS o
   FROM l0
 ), l2 AS (
   SELECT *, least(2048, (o // 8) * 8)::INTEGER AS off, CASE region WHEN 'arg' THEN 'a' || region_k WHEN 'global' THEN 'g' WHEN 'heapish' THEN 'p' || (addr // 4096) END AS touch FROM l1
@@ -193,8 +215,8 @@ l0 AS (
   SELECT *, touch IS NOT NULL AND row_number() OVER (PARTITION BY run, touch ORDER BY step) = 1 AS fresh,
     event = 'read' AND region <> 'stack' AND row_number() OVER (PARTITION BY run, event = 'read', region, region_k, off ORDER BY step) = 1 AS field FROM l2
 ), l AS (
-  SELECT *, fresh AND (region <> 'heapish' OR count_if(fresh AND region = 'heapish') OVER w <= 24) AS touched,
-    field AND count_if(field) OVER w <= 64 AS field_read,
+  SELECT *, fresh AND (region <> 'heapish' OR count_if(fresh AND region = 'heapish') OVER w <= @HEAP) AS touched,
+    field AND count_if(field) OVER w <= @READS AS field_read,
     count_if(event = 'insn') OVER w AS instret, count_if(event = 'insn') OVER (PARTITION BY run, event, addr ORDER BY step) AS visits,
     count_if(fresh AND region = 'heapish') OVER w AS pages
   FROM l3 WINDOW w AS (PARTITION BY run ORDER BY step)
@@ -204,21 +226,23 @@ _WRITTEN = f"""CASE WHEN v = 0 THEN 'zero' WHEN v = {C.ARG_BASE} THEN 'input' WH
   WHEN v BETWEEN -4096 AND 4096 THEN 'small_const' ELSE 'big_const' END"""
 LOG_EFFECTS = f"""
 WITH {LOG}, m AS (
-  SELECT *, CASE WHEN k % 4 = 0 THEN 0 WHEN k % 4 = 1 THEN k % 9000 - 4500 WHEN k % 4 = 2 THEN {C.ARG_BASE} + k % 3 ELSE k * 1000003 END AS v,
-    event = 'write' AND region <> 'stack' AS written, event = 'insn' AND k % 7 < 3 AS acts FROM l
+  SELECT *, CASE WHEN event = 'insn' OR k % 11 > 2 THEN w ELSE w & (CASE k % 11 WHEN 0 THEN 255 WHEN 1 THEN 65535 ELSE 4294967295 END) END AS v,
+    event = 'write' AND region <> 'stack' AS written, event = 'insn' AND k % 7 < 4 AS acts FROM (
+      SELECT *, CASE WHEN k % 4 = 0 THEN 0 WHEN k % 4 = 1 THEN k % 9000 - 4500 WHEN k % 4 = 2 THEN {C.ARG_BASE} + k % 3 ELSE k * 1000003 END AS w FROM l)
 ), b AS (
   SELECT *, coalesce(sum(touched::INT + field_read::INT + written::INT + acts::INT) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM
     (SELECT * REPLACE (coalesce(touched, false) AS touched, coalesce(field_read, false) AS field_read, coalesce(written, false) AS written) FROM m)
 ), c AS (
-  SELECT *, min(CASE WHEN (event = 'insn' AND (visits > 64 OR instret > 20000 OR before >= 96)) OR (event = 'write' AND before >= 96)
-    OR (fresh AND region = 'heapish' AND pages > 256) THEN step END) OVER (PARTITION BY run) AS stop, max(instret) OVER (PARTITION BY run) >= 20000 AS spent FROM b
+  SELECT *, min(CASE WHEN (event = 'insn' AND (visits > @VISITS OR instret > @INSNS OR before >= @EFFECTS)) OR (event = 'write' AND before >= @EFFECTS)
+    OR (fresh AND region = 'heapish' AND pages > @PAGES) THEN step END) OVER (PARTITION BY run) AS stop, max(instret) OVER (PARTITION BY run) >= @INSNS AS spent FROM b
 ), kept AS (SELECT * FROM c WHERE stop IS NULL OR step < stop),
 x AS (
   SELECT run, step, 0 AS i, instret AS ic, 'new_region' AS kind, region, region_k, NULL::INTEGER AS off, NULL::VARCHAR AS val, NULL::BIGINT AS val_k, NULL::VARCHAR AS sym, NULL::BIGINT AS nr FROM kept WHERE touched
   UNION ALL SELECT run, step, 1, instret, 'read', region, region_k, off, NULL, NULL, NULL, NULL FROM kept WHERE field_read
   UNION ALL SELECT run, step, 2, instret, 'write', region, region_k, off, {_WRITTEN},
     CASE {_WRITTEN} WHEN 'small_const' THEN v WHEN 'input' THEN 0 WHEN 'input_deriv' THEN 0 END, NULL, NULL FROM kept WHERE written
-  UNION ALL SELECT run, step, 3, instret, CASE k % 7 WHEN 0 THEN 'call' WHEN 1 THEN 'branch' ELSE 'syscall' END, NULL, NULL, NULL, NULL, NULL,
+  UNION ALL SELECT run, step, 3, instret, CASE k % 7 WHEN 0 THEN 'call' WHEN 1 THEN 'branch' WHEN 2 THEN 'syscall' ELSE 'ret' END, NULL, NULL, NULL,
+    CASE WHEN k % 7 = 3 THEN {_WRITTEN} END, CASE WHEN k % 7 = 3 THEN CASE {_WRITTEN} WHEN 'small_const' THEN v WHEN 'input' THEN 0 WHEN 'input_deriv' THEN 0 END END,
     CASE WHEN k % 7 = 0 AND k % 2 = 0 THEN 'f' || (k % 11) END, CASE WHEN k % 7 = 2 THEN k % 330 END FROM kept WHERE acts
 )
 SELECT run, (row_number() OVER (PARTITION BY run ORDER BY step, i) - 1)::INTEGER AS seq, ic::BIGINT AS ic, kind, region, region_k, off, val, val_k, sym, nr FROM x
@@ -227,6 +251,15 @@ SELECT q.run, coalesce((SELECT count(*) FROM x WHERE x.run = q.run), 0)::INTEGER
 FROM (SELECT DISTINCT run FROM c WHERE stop IS NOT NULL OR spent) q
 """
 
+
+
+def capped(sql: str, instructions: int = 20_000, visits: int = 64, effects: int = 96, reads: int = 64, heap_pages: int = 24, run_pages: int = 256) -> str:
+    """A log query with its caps; the numbers are stated here once more, not taken from the engine."""
+    for tag, n in (("@INSNS", instructions), ("@VISITS", visits), ("@EFFECTS", effects), ("@READS", reads), ("@HEAP", heap_pages), ("@PAGES", run_pages)):
+        sql = sql.replace(tag, str(n))
+    return sql
+
+
 P6_PROFILE = """
 WITH v AS (
   SELECT 'complexity' AS field, complexity::VARCHAR AS k, id, "binary" AS b, name, indexed_at FROM funcs WHERE complexity IS NOT NULL
@@ -252,13 +285,19 @@ def oracle_sql() -> dict[str, str]:
         "effect_tokens": EFFECT_TOKENS,
         "trace_complexity": COMPLEXITY,
         "trace_shingles": SHINGLE_COUNTS,
-        "fingerprints": FINGERPRINTS,
+        "fingerprints": fingerprints(),
+        "fingerprint_drift": f"""
+            SELECT f.id, CASE WHEN len(f.sig) = 128 THEN {AGREE.format(a="f.sig", b="n.sig")} ELSE 0 END::INTEGER AS equal_slots
+            FROM funcs f JOIN ({fingerprints().replace("md5(string_agg", "(string_agg").replace(") AS sig_md5 FROM m", ") AS sig_md5 FROM m")}) x ON x.func_id = f.id,
+            LATERAL (SELECT string_split(CASE WHEN x.shingles = 0 THEN array_to_string(list_transform(range(128), lambda i: '0'), ',') ELSE x.sig_md5 END, ',')::BIGINT[] AS sig) n
+            WHERE f.sig IS DISTINCT FROM n.sig OR f.complexity <> x.complexity OR f.shingles <> x.shingles""",
         "band_keys": BANDS,
         "bands_stale": f"SELECT DISTINCT func_id, band, key FROM bands EXCEPT SELECT func_id, band, key FROM ({BANDS})",
         "bands_missing": f"SELECT func_id, band, key FROM ({BANDS}) EXCEPT SELECT func_id, band, key FROM bands",
         "well_formed": 'SELECT id, "binary", name, entry, source, complexity, shingles, capped FROM funcs WHERE len(sig) = 128 AND length("binary") <= 1048576 AND (name IS NULL OR length(name) <= 1048576) AND length(source) <= 1048576',
         "index_summary": 'SELECT "binary", count(*) AS functions, count(name) AS named, count(CASE WHEN complexity >= 4 THEN 1 END) AS usable FROM funcs GROUP BY "binary"',
         "escaped_names": f"SELECT id, {_ESCAPED} AS name, '0x' || CASE WHEN length(h) < 8 THEN lpad(h, 8, '0') ELSE h END AS entry FROM (SELECT *, lower(to_hex({_u('entry')}::UBIGINT)) AS h FROM funcs)",
+        "signature_bytes": "SELECT id, md5(unhex(array_to_string(list_transform(sig, lambda x: list_reduce(list_transform(range(8), lambda k: substr(lpad(to_hex(x), 16, '0'), 15 - 2 * k, 2)), lambda p, q: p || q)), ''))) AS bytes_md5, true AS same FROM funcs WHERE len(sig) = 128",
         "lsh_candidates": f"SELECT t AS target_id, count(*) AS candidates FROM ({pairs.format(gate='AND complexity >= 4')}) GROUP BY t",
         "fallback_targets": f"SELECT id FROM funcs WHERE len(sig) = 128 AND complexity >= 4 AND shingles <> 0 AND name IS NULL AND id NOT IN (SELECT t FROM ({pairs.format(gate='')}))",
         "best_matches": f"SELECT * FROM {best(_UNKNOWN, _KNOWN)}",
@@ -275,11 +314,11 @@ def oracle_sql() -> dict[str, str]:
         "match_only_b": f"SELECT name FROM ({MATCH}) WHERE status = 'only_b'",
         "eval_ranks": RANKS,
         "eval_summary": EVAL,
-        "log_effects": LOG_EFFECTS,
-        "log_first_touches": f"WITH {LOG} SELECT run, step, region, region_k FROM l WHERE touched",
-        "log_read_footprint": f"WITH {LOG} SELECT run, step, region, region_k, off FROM l WHERE field_read",
+        "log_effects": capped(LOG_EFFECTS),
+        "log_first_touches": capped(f"WITH {LOG} SELECT run, step, region, region_k FROM l WHERE touched"),
+        "log_read_footprint": capped(f"WITH {LOG} SELECT run, step, region, region_k, off FROM l WHERE field_read"),
         "value_classes": f"SELECT {_WRITTEN} AS val, CASE {_WRITTEN} WHEN 'small_const' THEN v END AS val_k, count(*) AS n FROM (SELECT round(l_extendedprice * 100)::BIGINT - 3000000 AS v FROM lineitem) GROUP BY ALL",
-        "offset_buckets": "SELECT greatest(-2048, least(2048, trunc(v / 8.0)::BIGINT * 8))::INTEGER AS bucket, count(*) AS n FROM (SELECT l_partkey - l_suppkey * 7 AS v FROM lineitem) GROUP BY ALL",
+        "offset_buckets": "SELECT greatest(-2048, least(2048, trunc(v / 8.0)::BIGINT * 8))::INTEGER AS bucket, count(*) AS n FROM (SELECT l_partkey * 3 - l_suppkey * 50 AS v FROM lineitem) GROUP BY ALL",
         "p6_found": f"SELECT field, key_text FROM ({P6_PROFILE}) WHERE n_rows >= 0.025 * (SELECT count(*) FROM funcs)",
         "p6_profile": P6_PROFILE,
         "p6_guess_join": "SELECT target, count(*) AS n_rows, sum(complexity)::BIGINT AS complexity FROM named n JOIN funcs f ON n.guess = f.name GROUP BY target",

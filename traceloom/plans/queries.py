@@ -197,18 +197,22 @@ def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as an access log: 25 runs; purchases and errors execute, clicks read, views and signups write."""
+    """Events as an access log: 26 runs, one of them with half of the rows; purchases and errors execute, clicks read,
+    views and signups write."""
     e = _table(spark, sf, "events").where("event_id IS NOT NULL")
     k = F.col("event_id")
     event = F.when(F.col("event_type") == "click", "read").when(F.col("event_type").isin("view", "signup"), "write").otherwise("insn")
     arg = F.lit(C.ARG_BASE) + (k % 6) * F.lit(C.ARG_STRIDE) + (k * 40) % 4096
-    stack, glob, heap = F.lit(C.STACK_START) + (k % 128) - 64, F.lit(0x400000) + k % 512, F.lit(0x7000_0000) + (k * 4093) % 400_000
+    stack, glob, heap = F.lit(C.STACK_START) + (k % 128) - 64, F.lit(0x400000) + k % 512, F.lit(0x7000_0000) + (k * 4093) % 4_000_000
     addr = F.when(k % 5 < 2, arg).when(k % 5 == 2, stack).when(k % 5 == 3, glob).otherwise(heap)
     value = F.when(k % 4 == 0, F.lit(0)).when(k % 4 == 1, k % 9000 - 4500).when(k % 4 == 2, F.lit(C.ARG_BASE) + k % 3).otherwise(k * 1_000_003)
-    insn = F.when(k % 7 == 0, "call").when(k % 7 == 1, "branch").when(k % 7 == 2, "syscall").otherwise("plain")
+    insn = F.when(k % 7 == 0, "call").when(k % 7 == 1, "branch").when(k % 7 == 2, "syscall").when(k % 7 == 3, "ret").otherwise("plain")
+    size = F.when(k % 11 == 0, 1).when(k % 11 == 1, 2).when(k % 11 == 2, 4).otherwise(8)
+    # every other user is one of 25 runs, all others are one long run
+    run = F.when(F.col("user_id") % 2 == 0, F.col("user_id") % 25).otherwise(99)
     rows = e.select(
-        (F.col("user_id") % 25).cast("long").alias("run"), F.col("event_id").cast("long").alias("step"), event.alias("event"),
-        F.when(event == "insn", F.lit(0x400000) + k % 64).otherwise(addr).cast("long").alias("addr"), F.lit(8).alias("size"), value.cast("long").alias("value"),
+        run.cast("long").alias("run"), F.col("event_id").cast("long").alias("step"), event.alias("event"),
+        F.when(event == "insn", F.lit(0x400000) + k % 64).otherwise(addr).cast("long").alias("addr"), size.alias("size"), value.cast("long").alias("value"),
         (k % 5 == 3).alias("in_segment"), F.when(event == "insn", insn).alias("insn"),
         F.when((k % 7 == 0) & (k % 2 == 0), F.concat(F.lit("f"), (k % 11).cast("string"))).alias("sym"), (k % 330).cast("long").alias("nr"),
     )
@@ -239,7 +243,7 @@ def value_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def offset_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    v = (F.col("l_partkey") - F.col("l_suppkey") * 7).alias("v")
+    v = (F.col("l_partkey") * 3 - F.col("l_suppkey") * 50).alias("v")
     rows = _table(spark, sf, "lineitem").select(E.bucket_offset(v).alias("bucket"))
     return rows.groupBy("bucket").agg(F.count("*").alias("n"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from traceloom import constants as C
 from traceloom.functions.hashing import unsigned_order
+from traceloom.operators.shared import materialize
 
 FUNCTIONS = "binary string, name string, entry bigint, size bigint, source string"
 SEGMENTS = "binary string, segment int, vaddr bigint, bytes binary, mem_size bigint, exec boolean, write boolean"
@@ -256,50 +257,53 @@ def parse(data: bytes) -> Elf:
     return elf
 
 
-def _each(files: DataFrame, schema: str, rows) -> DataFrame:
-    from traceloom.functions import arrow
-
-    target = arrow.schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column(0), b.column(1)):
-                yield pa.RecordBatch.from_pylist(rows(path.as_py().rsplit("/", 1)[-1], content.as_py()), target)
+ROWS = f"kind string, {FUNCTIONS}, {SEGMENTS.removeprefix('binary string, ')}, error string"
+_PART = 4096
 
-    return files.select("path", "content").mapInArrow(run, schema)
 
+def parse_files(files: DataFrame, strict: bool = True) -> DataFrame:
+    """Rows of all files (``path, content``), each parsed once: ``kind`` (function, segment or error), ``binary`` and the fields of
+    that kind; see ``split``."""
+    from traceloom.functions import arrow
 
-def read(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(functions, segments, errors) of the files at ``path``. ``binary`` is the file's name.
-
-    A segment's ``bytes`` are its window of the file; up to ``mem_size`` it is zero. With ``strict`` a bad file stops the
-    query; otherwise it only has a row ``binary, error`` in errors. Files over 512 MiB are bad.
-    """
-    files = spark.read.format("binaryFile").load(path)
+    target = arrow.schema(ROWS)
 
-    def parsed(name: str, content: bytes) -> Elf | str:
+    def parsed(name: str, content: bytes) -> list[dict]:
         try:
             if len(content) > C.MAX_FILE:
                 raise BadElf("the file is over the size limit")
-            return parse(content)
+            elf = parse(content)
         except BadElf as e:
             if strict:
                 raise BadElf(f"{name}: {e}") from e
-            return str(e)
+            return [{"kind": "error", "error": str(e)}]
+        return [{"kind": "segment", "segment": k} | s for k, s in enumerate(elf.segments)] + [{"kind": "function"} | f for f in elf.functions]
 
-    def functions(name: str, content: bytes) -> list[dict]:
-        elf = parsed(name, content)
-        return [] if isinstance(elf, str) else [f | {"binary": name} for f in elf.functions]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
+                name = path.as_py().rsplit("/", 1)[-1]
+                rows = parsed(name, content.as_py())
+                for i in range(0, len(rows), _PART):
+                    yield pa.RecordBatch.from_pylist([r | {"binary": name} for r in rows[i : i + _PART]], target)
 
-    def segments(name: str, content: bytes) -> list[dict]:
-        elf = parsed(name, content)
-        return [] if isinstance(elf, str) else [s | {"binary": name, "segment": k} for k, s in enumerate(elf.segments)]
+    return files.select("path", "content").mapInArrow(run, ROWS)
 
-    def errors(name: str, content: bytes) -> list[dict]:
-        elf = parsed(name, content)
-        return [{"binary": name, "error": elf}] if isinstance(elf, str) else []
 
-    return _each(files, FUNCTIONS, functions), _each(files, SEGMENTS, segments), _each(files, "binary string, error string", errors)
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(functions, segments, errors) of what ``parse_files`` gives."""
+    pick = lambda kind, ddl: rows.where(F.col("kind") == kind).select(*(f.split()[0] for f in ddl.split(", ")))
+    return pick("function", FUNCTIONS), pick("segment", SEGMENTS), pick("error", "binary string, error string")
+
+
+def read(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(functions, segments, errors) of the files at ``path``. ``binary`` is the file's name.
+
+    A segment's ``bytes`` are its window of the file; up to ``mem_size`` it is zero. With ``strict`` a bad file stops with an
+    error; otherwise it only has a row ``binary, error`` in errors. Files over 512 MiB are bad. Every file is read and
+    parsed once, when this is called; the result is stored.
+    """
+    return split(materialize(parse_files(spark.read.format("binaryFile").load(path), strict), "elf"))
 
 
 # ---- relational forms ------------------------------------------------------------------------------------------------
@@ -329,6 +333,16 @@ def indexable(functions: DataFrame, segments: DataFrame) -> DataFrame:
     return functions.where(F.col("size") != 0).join(s, inside, "left_semi")
 
 
+def in_segments(accesses: DataFrame, segments: DataFrame, length: int = 1) -> DataFrame:
+    """``accesses`` (``binary, addr``, ...) with ``in_segment`` and ``segment``: the first segment of the access's own file that
+    holds ``length`` bytes from the address on, null for none. Accesses are kept as they are, repeated rows too."""
+    s = segments.select(F.col("binary").alias("_b"), F.col("vaddr").alias("_v"), F.col("mem_size").alias("_m"), F.col("segment").alias("_s"))
+    asked = accesses.select("binary", "addr").distinct()
+    inside = (F.col("binary") == F.col("_b")) & holds(F.col("_v"), F.col("_m"), F.col("addr"), length)
+    first = asked.join(s, inside).groupBy("binary", "addr").agg(F.min("_s").alias("segment"))
+    return accesses.join(first, ["binary", "addr"], "left").withColumn("in_segment", F.col("segment").isNotNull())
+
+
 def name_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Adds ``sym`` to ``calls`` (``binary, target``): the named function at the target; null for others, so imported
     functions, which have no body here, stay anonymous."""

@@ -52,8 +52,8 @@ def rows(image: bytes) -> list[dict]:
     return [dict(zip(names, r)) | {"capped": bool(r[7]), "sig": np.frombuffer(r[8], "<i8").tolist()} for r in found]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Functions of the images at ``path``; ``bands`` are derived again where they are needed, the stored ones aren't read."""
+def parse_images(files: DataFrame) -> DataFrame:
+    """Functions of all images (``content``), as ``rows`` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -62,7 +62,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for k in range(0, len(found), 2000):
                     yield pa.RecordBatch.from_pylist(found[k : k + 2000], arrow.schema(FUNCS))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FUNCS)
+    return files.select("content").mapInArrow(run, FUNCS)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Functions of the images at ``path``; ``bands`` are derived again where they are needed, the stored ones aren't read."""
+    return parse_images(spark.read.format("binaryFile").load(path))
 
 
 def build(records: list[dict]) -> bytes:
