@@ -124,10 +124,11 @@ class _Ranks:
         return [x[seen] for x in (self.q, self.ahead, self.best.score[:, 0].astype(np.int64), self.best.who[:, 0])]
 
 
-def _through(queries: DataFrame, rows: DataFrame, extra: tuple[str, ...], make: Callable, names: list[str], block: int, share: int) -> DataFrame:
+def _through(queries: DataFrame, rows: DataFrame, extra: tuple[str, ...], make: Callable, names: list[str], block: int, share: int, stored: bool) -> DataFrame:
     """Groups of a block of queries (``q, sig, *extra``) and a share of rows (``place, sig``), each seen by what ``make`` gives."""
     queries = materialize(queries.select(F.col("q").cast("long").alias("q"), "sig", *(F.col(c).cast("long").alias(c) for c in extra)), "queries")
-    rows = materialize(rows.select(F.col("place").cast("long").alias("place"), "sig"), "rows")
+    rows = rows.select(F.col("place").cast("long").alias("place"), "sig")
+    rows = rows if stored else materialize(rows, "rows")
     blocks, n = max(1, -(-queries.count() // block)), rows.count()
     # small inputs are dealt to all cores
     shares = max(1, -(-n // share), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_SHARE)))
@@ -168,22 +169,22 @@ def _through(queries: DataFrame, rows: DataFrame, extra: tuple[str, ...], make:
     return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
-def against_all(queries: DataFrame, rows: DataFrame, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+def against_all(queries: DataFrame, rows: DataFrame, block: int = BLOCK, share: int = SHARE, stored: bool = False) -> DataFrame:
     """``q, ahead, top_equal, top_place`` of every query, compared with all rows by agreeing slots.
 
     ``queries`` has ``q, sig, bar, bar_place``: ``ahead`` counts the rows that agree in more than ``bar`` slots, or in as many
     with a smaller ``place`` than ``bar_place``. ``rows`` has ``place, sig``; the best row has the most agreeing slots and, of
     equals, the smallest place. All signatures have 128 slots without nulls; no rows, or no queries, give no result.
-    Both inputs are stored and counted when the plan is built.
+    Both inputs are stored and counted when the plan is built; ``stored`` tells that the rows already are.
     """
-    partial = _through(queries, rows, ("bar", "bar_place"), _Ranks, ["q", "ahead", "top_equal", "top_place"], block, share)
+    partial = _through(queries, rows, ("bar", "bar_place"), _Ranks, ["q", "ahead", "top_equal", "top_place"], block, share, stored)
     best = F.min(F.struct((-F.col("top_equal")).alias("e"), F.col("top_place").alias("p"))).alias("_t")
     summed = partial.groupBy("q").agg(F.sum("ahead").alias("ahead"), best)
     return summed.select("q", "ahead", (-F.col("_t.e")).alias("top_equal"), F.col("_t.p").alias("top_place"))
 
 
-def nearest_in_blocks(queries: DataFrame, rows: DataFrame, k: int, least: int = 0, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+def nearest_in_blocks(queries: DataFrame, rows: DataFrame, k: int, least: int = 0, block: int = BLOCK, share: int = SHARE, stored: bool = False) -> DataFrame:
     """``q, place, equal``: for each query (``q, sig``) the ``k`` best rows (``place, sig``) of every share, so the k best of all
     are among them: at least ``least`` agreeing slots, more first, then the smaller place. Null-free signatures of 128 slots;
-    empty sides give no rows. Both inputs are stored and counted when the plan is built."""
-    return _through(queries, rows, (), lambda q, sigs: _Tops(q, sigs, k, least), ["q", "place", "equal"], block, share)
+    empty sides give no rows. Both inputs are stored and counted when the plan is built; ``stored`` tells that the rows already are."""
+    return _through(queries, rows, (), lambda q, sigs: _Tops(q, sigs, k, least), ["q", "place", "equal"], block, share, stored)

@@ -160,9 +160,9 @@ def fingerprints(traces: DataFrame, key: str = "func_id") -> DataFrame:
     Traces may arrive in any order, twice, or without effects; repeated traces change nothing. Columns beyond ``key``,
     ``effects`` and ``capped`` are left out. Building the plan counts the effects of each key once.
     """
-    effects = traces.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(F.size("effects.seq")).alias("_n"))
-    many = effects.where(F.col("_n") > MANY_EFFECTS).select(key)
-    some = not many.isEmpty()
+    size = F.sum(F.size("effects.seq")).alias("_n")
+    many = traces.where(F.col(key).isNotNull()).groupBy(key).agg(size).where(F.col("_n") > MANY_EFFECTS).select(key)
+    some = (traces.agg(size).first()["_n"] or 0) > MANY_EFFECTS and not many.isEmpty()
     few = traces.join(many, key, "left_anti") if some else traces
     union = trace_shingles(few, key, united=True, scan=not some).groupBy(key).agg(
         F.max("complexity").alias("complexity"), F.bool_or("capped").alias("capped"), F.flatten(F.collect_list("shingles")).alias("shingles"),

@@ -4,13 +4,14 @@ Rows of one signature are one class on either side, so a signature that a third
 Trivial functions fill the largest band buckets; they can't be anyone's match, so they only take part in the question
 whether a target has any candidate, and that one is asked of distinct (band, key), for the targets that have no other.
 
-Signatures of classes and the pairs to be compared are stored once. Two classes with b equal bands agree in 4 b slots at
+The targets' classes and each corpus's winners are stored once. Two classes with b equal bands agree in 4 b slots at
 least and in 96 + b at most, so only pairs that could still be the best of their target are compared slot by slot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,28 +110,35 @@ def best_match(target: DataFrame | Seekers, corpus: DataFrame) -> DataFrame:
     """
     seekers = target if isinstance(target, Seekers) else seek(target)
     whole = well_formed(corpus)
-    known = materialize(_classes(whole.where(is_known()), "name", "binary"), "known")
+    known = _classes(whole.where(is_known()), "name", "binary")
 
     pairs = seekers.bands.join(_bands(known, "c"), ["band", "key"]).groupBy("t", "c").agg(F.count("*").cast("int").alias("b"))
     most = F.max("b").over(Window.partitionBy("t"))
-    open_ = pairs.withColumn("most", most).where(F.col("b") + (C.SLOTS - C.BANDS) >= F.col("most") * C.BAND_ROWS)
-    near = materialize(open_.select("t", "c"), "near")
+    near = pairs.withColumn("most", most).where(F.col("b") + (C.SLOTS - C.BANDS) >= F.col("most") * C.BAND_ROWS).select("t", "c")
     sig_t = seekers.classes.select(F.col("rep").alias("t"), F.col("sig").alias("sig_t"))
-    sig_c = known.select(F.col("rep").alias("c"), F.col("sig").alias("sig_c"))
-    best = near.join(sig_t, "t").join(sig_c, "c").select("t", "c", equal_slots(F.col("sig_t"), F.col("sig_c")).alias("equal"))
-
-    alone = seekers.classes.join(near.select(F.col("t").alias("rep")).distinct(), "rep", "left_anti").select(F.col("rep").alias("id"), "sig")
-    if not alone.isEmpty():
-        # rows that can't be a match still tell that a target has a candidate
-        rest = whole.where(~F.coalesce(is_known(), F.lit(False)))
-        lost = without_candidate(materialize(alone, "alone"), rest)
+    told = known.select(F.col("rep").alias("c"), F.col("sig").alias("sig_c"), F.col("name").alias("guess"), F.col("binary").alias("from_binary"))
+    scored = near.join(sig_t, "t").join(told, "c").select("t", "c", equal_slots(F.col("sig_t"), F.col("sig_c")).alias("equal"), "guess", "from_binary")
+    first = F.min_by(F.struct("c", "equal", "guess", "from_binary"), F.struct((-F.col("equal")).alias("e"), F.col("c"))).alias("_b")
+    best = materialize(scored.groupBy("t").agg(first).select("t", "_b.*"), "best")
+
+    # rows that can't be a match still tell that a target has a candidate
+    alone = seekers.classes.join(best.select(F.col("t").alias("rep")), "rep", "left_anti").select(F.col("rep").alias("id"), "sig")
+    lost = materialize(without_candidate(alone, whole.where(~F.coalesce(is_known(), F.lit(False)))), "lost")
+    if not lost.isEmpty():
         asked = lost.select(F.col("id").alias("q"), "sig", F.lit(C.SLOTS).alias("bar"), F.lit(0).alias("bar_place"))
-        scanned = against_all(asked, known.select(F.col("rep").alias("place"), "sig"))
-        best = best.unionByName(scanned.select(F.col("q").alias("t"), F.col("top_place").alias("c"), F.col("top_equal").cast("int").alias("equal")))
+        known = materialize(known, "known")
+        scanned = against_all(asked, known.select(F.col("rep").alias("place"), "sig"), stored=True)
+        names = known.select(F.col("rep").alias("top_place"), F.col("name").alias("guess"), F.col("binary").alias("from_binary"))
+        scanned = scanned.join(names, "top_place")
+        best = best.unionByName(scanned.select(F.col("q").alias("t"), F.col("top_place").alias("c"), F.col("top_equal").cast("int").alias("equal"), "guess", "from_binary"))
 
-    order = F.struct((-F.col("equal")).alias("e"), F.col("c"))
-    first = best.groupBy("t").agg(F.min(order).alias("_b")).select("t", F.col("_b.c").alias("c"), (-F.col("_b.e")).alias("equal"))
-    names = known.select(F.col("rep").alias("c"), F.col("name").alias("guess"), F.col("binary").alias("from_binary"))
-    found = first.join(names, "c").join(seekers.classes.select(F.col("rep").alias("t"), "h1", "h2"), "t")
+    found = best.join(seekers.classes.select(F.col("rep").alias("t"), "h1", "h2"), "t")
     similarity = (F.col("equal") / F.lit(C.SLOTS)).alias("similarity")
     return seekers.rows.join(found, ["h1", "h2"]).select("id", similarity, "guess", "from_binary", F.col("c").alias("func_id"))
+
+
+def best_in_each(target: DataFrame, corpora: Sequence[DataFrame]) -> list[DataFrame]:
+    """``best_match`` of one target in several corpora. The target is prepared once; the corpora are worked on side by side."""
+    seekers = seek(target)
+    with ThreadPoolExecutor(len(corpora)) as pool:
+        return list(pool.map(lambda corpus: best_match(seekers, corpus), corpora))

@@ -12,7 +12,7 @@ from traceloom.functions.hashing import unsigned_order
 from traceloom.functions.signature import equal_slots, similarity
 from traceloom.operators.blocks import against_all
 from traceloom.operators.corpus import has_signal, is_known, well_formed
-from traceloom.operators.matching import best_match, seek
+from traceloom.operators.matching import best_in_each, best_match
 from traceloom.operators.numbering import number_rows
 
 
@@ -96,9 +96,8 @@ def triage(
     has similarity 0 and an empty name.
     """
     rows = well_formed(target).where(has_signal()).select("id", "entry")
-    seekers = seek(target)
-    for tag, corpus in (("vuln", vuln), ("patched", patched)):
-        best = best_match(seekers, corpus).select("id", F.col("similarity").alias(f"{tag}_similarity"), F.col("guess").alias(f"{tag}_name"))
+    for tag, best in zip(("vuln", "patched"), best_in_each(target, (vuln, patched))):
+        best = best.select("id", F.col("similarity").alias(f"{tag}_similarity"), F.col("guess").alias(f"{tag}_name"))
         rows = rows.join(best, "id", "left").fillna(0.0, [f"{tag}_similarity"]).fillna("", [f"{tag}_name"])
     v, p = F.col("vuln_similarity"), F.col("patched_similarity")
     out = rows.withColumns({"verdict": verdict(v, p, min_similarity, margin), "lead": v - p})
@@ -139,7 +138,7 @@ def evaluate_ranks(a: DataFrame, b: DataFrame, order: str = "id") -> DataFrame:
     best = scored.groupBy("id").agg(F.min(F.struct((-F.col("equal")).alias("e"), F.col("place").alias("p"))).alias("_t"))
     best = best.select("id", (-F.col("_t.e")).alias("bar"), F.col("_t.p").alias("bar_place"))
     asked = rows_a.select("id", "sig").join(best, "id").select(F.col("id").alias("q"), "sig", "bar", "bar_place")
-    seen = against_all(asked, places.select("place", "sig"))
+    seen = against_all(asked, places.select("place", "sig"), stored=True)
     named = seen.join(places.select(F.col("place").alias("top_place"), F.col("name").alias("top_name")), "top_place")
     named = named.join(rows_a.select(F.col("id").alias("q"), "name"), "q")
     alike = (F.col("top_equal") / F.lit(C.SLOTS)).alias("top_similarity")
