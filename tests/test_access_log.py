@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from traceloom import constants as C
@@ -108,10 +109,19 @@ def test_fill_words(spark):
 def test_eager_join_equals_plain_join(spark):
     left = spark.createDataFrame([(k % 5 if k % 7 else None, f"g{k % 3}", k if k % 4 else None, "x") for k in range(80)] * 2, "k int, g string, v int, extra string")
     right = spark.createDataFrame([(0 if k % 3 else k % 6, f"h{k % 2}", k * 10, "y") for k in range(60)], "k int, h string, w int, extra string")
-    fast = eager.eager_join_aggregate(left, right, ["k"], ["g"], ["h"], {"v": F.col("v")}, {"w": F.col("w")}, by=["g", "h"])
-    plain = left.drop("extra").join(right.drop("extra"), "k").groupBy("g", "h").agg(F.count("*").alias("n_rows"), F.sum("v").alias("v"), F.sum("w").alias("w"))
-    assert sorted(fast.collect()) == sorted(plain.collect())
-    assert eager.eager_join_aggregate(left.limit(0), right, ["k"]).count() == 0
+    one = eager.Side(left, ["g"], {"v": F.col("v")}, {"lo": F.col("v")}, {"hi": F.col("v")})
+    fast = eager.eager_join_aggregate(one, eager.Side(right, ["h"], {"w": F.col("w")}), ["k"], ["g", "h"])
+    cols = [F.count("*").alias("n_rows"), F.sum("v").alias("v"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("w")]
+    plain = left.drop("extra").join(right.drop("extra"), "k").groupBy("g", "h").agg(*cols)
+    assert sorted(fast.drop("left_rows", "right_rows").select(plain.columns).collect()) == sorted(plain.collect())
+    assert eager.eager_join_aggregate(eager.Side(left.limit(0)), eager.Side(right), ["k"]).count() == 0
+    counted = eager.eager_join_aggregate(eager.Side(left, distinct="g"), eager.Side(right, distinct="h", distinct_as="n_h"), ["k"])
+    want = left.join(right.select("k", "h"), "k").groupBy("k").agg(F.count("*").alias("n_rows"), F.count_distinct("g").alias("n_distinct"), F.count_distinct("h").alias("n_h"))
+    assert sorted(counted.select(want.columns).collect()) == sorted(want.collect())
+    per = {r.k: (r.left_rows, r.right_rows) for r in counted.collect()}
+    assert per == {k: (left.where(f"k = {k}").count(), right.where(f"k = {k}").count()) for k in per}
+    with pytest.raises(ValueError):
+        eager.eager_join_aggregate(eager.Side(left, ["g"], distinct="v"), eager.Side(right), ["k"], ["g"])
 
 
 def test_value_profile(spark):

@@ -263,7 +263,8 @@ def p6_guess_join(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate names joined with the functions of that name: per target the joined rows and summed complexity."""
     named = _table(spark, sf, "named").select("guess", "target")
     funcs = _funcs(spark, sf).select(F.col("name").alias("guess"), "complexity")
-    return eager.eager_join_aggregate(named, funcs, ["guess"], left_group=["target"], right_sums={"complexity": F.col("complexity")}, by=["target"])
+    right = eager.Side(funcs, sums={"complexity": F.col("complexity")})
+    return eager.eager_join_aggregate(eager.Side(named, ["target"]), right, ["guess"], ["target"]).select("target", "n_rows", "complexity")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
