@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from traceloom.functions.effects import TRACES
 from traceloom.llm import packing as K
@@ -314,12 +315,28 @@ def test_repetition(spark):
 
 def test_measures(spark):
     text = "Same line.\nSame line.\nOther!\r\n\r\nPara the of.\n\nPara the of.\n\n***"
-    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")
-    a, b = R.measure(docs).orderBy("doc_id").collect()
-    assert a.line_share == pytest.approx(1 - 4 / 6) and a.stop_words == 1 and a.n_words == 12
-    assert a.paragraph_share == pytest.approx(1 - 3 / 4) and a.sentence_share == pytest.approx(1 - 4 / 6)
-    assert {"word_count", "repeated_lines", "repeated_sentences"} <= set(a.broken)
-    assert (b.n_words, b.line_share, b.symbol_ratio, b.window_share) == (0, 0.0, 0.0, 0.0)
+    chinese = "这是一个很长的句子没有任何空格" * 4
+    docs = spark.createDataFrame([(1, text), (2, None), (3, chinese), (4, "カタカナの文と の ひらがな"), (5, "один и два не три " * 3)], "doc_id bigint, text string")
+    rules = (*R.QUALITY, R.Threshold("lines", "line_share", high=0.3), R.Threshold("words", "n_words", low=20))
+    a, b, c, d, e = R.measure(docs, rules).orderBy("doc_id").collect()
+    assert a.line_share == pytest.approx(1 - 4 / 6) and a.stop_words == 1 and a.n_units == a.n_words == 12
+    assert a.line_chars == pytest.approx(1 - (10 + 6 + 12 + 3) / (20 + 6 + 24 + 3)) and 0 < a.paragraph_chars < 0.3
+    assert a.sentence_chars == pytest.approx(1 - (9 + 5 + 11 + 3) / (18 + 5 + 22 + 3))
+    assert a.repeated_share == max(a.line_chars, a.paragraph_chars, a.sentence_chars, a.unit_share)
+    assert {"length", "repeated_lines", "repeated_sentences", "lines", "words"} <= set(a.broken)
+    assert (b.n_units, b.line_chars, b.symbol_ratio, b.window_share, b.repeated_share) == (0, 0.0, 0.0, 0.0, 0.0)
+    # one word by white space, but sixty units whose windows of ten repeat
+    assert (c.n_words, c.window_share, c.n_units) == (1, 0.0, 60) and c.unit_share == pytest.approx(1 - 15 / 51) and c.stop_words == 5
+    assert c.repeated_share == c.unit_share and "repeated" in c.broken and "stop_words" not in c.broken
+    assert d.n_units == 12 and d.stop_words == 5
+    assert e.stop_words == 2 and e.unit_share == pytest.approx(1 - 5 / 11)
+
+
+def test_stop_words_fit_the_corpus(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) >= 200 AND lang IS NOT NULL")
+    rows = R.measure(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    for r in rows.groupBy("lang").agg(F.avg(F.array_contains("broken", "stop_words").cast("int")).alias("share"), F.count("*").alias("n")).collect():
+        assert r.n < 20 or r.share < 0.25, r
 
 
 def test_measures_need_no_shuffle_by_key_and_no_python(spark):

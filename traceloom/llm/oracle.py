@@ -98,6 +98,54 @@ WITH w AS (
 SELECT doc_id FROM u WHERE 1 - len(list_distinct(u))::DOUBLE / len(u) >= 0.4
 """
 
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}"
+_EDGE = "chr(32) || chr(9) || chr(10) || chr(13)"
+_STOP = {
+    "en": "the be to of and that have with a in is for it on this not from when", "de": "der die das und zu in nicht ist den mit von für auf ein eine wenn im bei",
+    "fr": "le la les de des et un une du en pour dans que est pas sur avec au", "es": "el la los de y que en un una por con para no es se del al las",
+    "ru": "и в не на с что по для из к при если от это как или без до", "zh": "的 了 是 在 和 不 有 中 时 为 当 与 以 对 从 到 个 这", "ja": "の を に は が と で た し て な も る す い か ら れ",
+}
+
+
+def _units_of(cut: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array(t, '{cut}'), lambda x: trim(x, {_EDGE})), lambda x: x <> '')"
+
+
+def _lengths(x: str) -> str:
+    return f"list_sum(list_transform({x}, lambda x: length(x)))::DOUBLE"
+
+
+def _windowed(x: str, n: str) -> str:
+    return f"list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i:i + {n} - 1], ' '))"
+
+
+def _once(x: str) -> str:
+    return f"CASE WHEN len({x}) = 0 THEN 0.0::DOUBLE ELSE 1 - len(list_distinct({x}))::DOUBLE / len({x}) END"
+
+
+P9_MEASURES = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w,
+    regexp_extract_all(t, '[{_UNSPACED}]|[^ \\t\\n\\r{_UNSPACED}]+') AS u, length(regexp_replace(t, '[^{_UNSPACED}]+', '', 'g')) AS c,
+    {_units_of("\\r\\n|\\n|\\r")} AS l, {_units_of("(?:\\r\\n|\\n|\\r)[ \\t]*(?:\\r\\n|\\n|\\r)")} AS g, {_units_of("[.!?。！？]+|\\n")} AS s FROM d
+),
+v AS (SELECT *, CASE WHEN c * 2 >= len(u) THEN 10 ELSE 5 END AS n, list_distinct(list_transform(u, lambda x: lower(x))) AS k FROM p),
+m AS (
+  SELECT doc_id, len(u)::INTEGER AS n_units, CASE WHEN len(u) = 0 THEN 0.0::DOUBLE ELSE {_lengths("u")} / len(u) END AS mean_unit_chars,
+    CASE WHEN length(t) = 0 THEN 0.0::DOUBLE ELSE length(regexp_replace(t, '[\\p{{L}}\\p{{N}} \\t\\n\\r]', '', 'g'))::DOUBLE / length(t) END AS symbol_ratio,
+    greatest({", ".join(f"len(list_intersect(k, string_split('{x}', ' ')))" for x in _STOP.values())})::INTEGER AS stop_words,
+    {", ".join(f"CASE WHEN len({x}) = 0 THEN 0.0::DOUBLE ELSE 1 - {_lengths(f'list_distinct({x})')} / {_lengths(x)} END AS {name}_chars" for x, name in (("l", "line"), ("g", "paragraph"), ("s", "sentence")))},
+    CASE WHEN len(w) < 5 THEN 0.0::DOUBLE ELSE {_once(_windowed("w", "5"))} END AS window_share, CASE WHEN len(u) < n THEN 0.0::DOUBLE ELSE {_once(_windowed("u", "n"))} END AS unit_share FROM v
+),
+r AS (SELECT *, greatest(line_chars, paragraph_chars, sentence_chars, unit_share) AS repeated_share FROM m)
+SELECT *, array_to_string(list_filter([
+  CASE WHEN n_units < 20 OR n_units > 100000 THEN 'length' END, CASE WHEN mean_unit_chars < 1 OR mean_unit_chars > 12 THEN 'unit_length' END,
+  CASE WHEN symbol_ratio > 0.35 THEN 'symbols' END, CASE WHEN stop_words < 1 THEN 'stop_words' END, CASE WHEN line_chars > 0.3 THEN 'repeated_lines' END,
+  CASE WHEN paragraph_chars > 0.3 THEN 'repeated_paragraphs' END, CASE WHEN sentence_chars > 0.3 THEN 'repeated_sentences' END, CASE WHEN window_share >= 0.4 THEN 'repeated_words' END,
+  CASE WHEN unit_share >= 0.4 THEN 'repeated_units' END, CASE WHEN repeated_share >= 0.4 THEN 'repeated' END], lambda x: x IS NOT NULL), ',') AS broken FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -126,4 +174,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT batches, rule, CASE WHEN rule = 'documents' THEN (SELECT count(*) FROM documents) ELSE 0 END AS n
             FROM (VALUES ('top_up'), ('in_bucket')) b(batches), (VALUES ('documents'), ('missing'), ('cut_small'), ('torn'), ('overfull')) r(rule)""",
         "p9_found": P9_FOUND,
+        "p9_measures": P9_MEASURES,
     }

@@ -129,7 +129,8 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_measures(spark: SparkSession, sf: str) -> DataFrame:
-    return repetition.measure(_table(spark, sf, "documents"))
+    """All measures of every document and the rules that it breaks."""
+    return repetition.measure(_table(spark, sf, "documents")).withColumn("broken", F.array_join("broken", ","))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

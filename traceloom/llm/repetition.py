@@ -10,13 +10,25 @@ from pyspark.sql import functions as F
 from traceloom.functions.binding import let
 from traceloom.operators.shared import spread
 
-# The white space between words, the letters that are lowered, common English function words.
+# The white space between words, the letters that are lowered, the scripts written without spaces.
 SPACE = "[ \t\n\r]+"
 EDGE = " \t\n\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+# Common function words (in Chinese and Japanese, characters) of the languages that the corpus declares.
+STOP_WORDS = {
+    "en": ("the", "be", "to", "of", "and", "that", "have", "with", "a", "in", "is", "for", "it", "on", "this", "not", "from", "when"),
+    "de": ("der", "die", "das", "und", "zu", "in", "nicht", "ist", "den", "mit", "von", "für", "auf", "ein", "eine", "wenn", "im", "bei"),
+    "fr": ("le", "la", "les", "de", "des", "et", "un", "une", "du", "en", "pour", "dans", "que", "est", "pas", "sur", "avec", "au"),
+    "es": ("el", "la", "los", "de", "y", "que", "en", "un", "una", "por", "con", "para", "no", "es", "se", "del", "al", "las"),
+    "ru": ("и", "в", "не", "на", "с", "что", "по", "для", "из", "к", "при", "если", "от", "это", "как", "или", "без", "до"),
+    "zh": ("的", "了", "是", "在", "和", "不", "有", "中", "时", "为", "当", "与", "以", "对", "从", "到", "个", "这"),
+    "ja": ("の", "を", "に", "は", "が", "と", "で", "た", "し", "て", "な", "も", "る", "す", "い", "か", "ら", "れ"),
+}
 
 WINDOW = 5
+#: Windows of texts in scripts without spaces, whose units are characters.
+WIDE_WINDOW = 10
 
 
 @dataclass(frozen=True)
@@ -41,22 +53,21 @@ class Threshold:
 #: Words and windows of the repetition case; the driver's cases are the documents that keep the first rule and break the second.
 REPEATED = (Threshold("long_enough", "n_words", low=20), Threshold("repeated_windows", "window_share", below=0.4))
 
+#: Bounds of ordinary prose and code. Repeated shares are shares of the text's characters, except those of windows.
 QUALITY = (
-    Threshold("word_count", "n_words", low=20, high=100_000),
-    Threshold("word_length", "mean_word_chars", low=2, high=12),
+    Threshold("length", "n_units", low=20, high=100_000),
+    Threshold("unit_length", "mean_unit_chars", low=1, high=12),
     Threshold("symbols", "symbol_ratio", high=0.35),
-    Threshold("stop_words", "stop_words", low=2),
-    Threshold("repeated_lines", "line_share", high=0.3),
-    Threshold("repeated_paragraphs", "paragraph_share", high=0.3),
-    Threshold("repeated_sentences", "sentence_share", high=0.3),
-    Threshold("repeated_windows", "window_share", below=0.4),
+    Threshold("stop_words", "stop_words", low=1),
+    Threshold("repeated_lines", "line_chars", high=0.3),
+    Threshold("repeated_paragraphs", "paragraph_chars", high=0.3),
+    Threshold("repeated_sentences", "sentence_chars", high=0.3),
+    Threshold("repeated_words", "window_share", below=0.4),
+    Threshold("repeated_units", "unit_share", below=0.4),
+    Threshold("repeated", "repeated_share", below=0.4),
 )
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), SPACE), lambda w: w != "")
-
-
 def _share(units: Column) -> Column:
     """One minus distinct units by units; 0 without units."""
     return let(
@@ -67,53 +78,95 @@ def _share(units: Column) -> Column:
     )
 
 
+def _chars(units: Column) -> Column:
+    return F.aggregate(units, F.lit(0), lambda a, x: a + F.length(x)).cast("double")
+
+
+def _char_share(units: Column) -> Column:
+    """The share of the units' characters that lie in a unit which occurred before; 0 without units."""
+    return let(units, lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(1 - _chars(F.array_distinct(u)) / _chars(u)))
+
+
 def _parts(text: Column, cut: str) -> Column:
     return F.filter(F.transform(F.split(text, cut), lambda p: F.btrim(p, F.lit(EDGE))), lambda p: p != "")
 
 
-def _windows(words: Column) -> Column:
-    # words hold no space, so joining by one keeps different windows different
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.concat_ws(" ", F.slice(words, i, WINDOW)))
+def _windows(units: Column, width: Column) -> Column:
+    """Runs of ``width`` units; none of a shorter text. Units hold no space, so joining by one keeps different runs different."""
+    starts = F.sequence(F.lit(1), F.size(units) - width + 1)
+    joined = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(units, i, width)))
+    return F.when(F.size(units) >= width, joined).otherwise(F.array().cast("array<string>"))
 
 
-#: Measures that a table can name, from the text (t) and its words (w).
-MEASURES = {
-    "n_chars": lambda t, w: F.length(t),
-    "n_words": lambda t, w: F.size(w),
-    "mean_word_chars": lambda t, w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).cast("double") / F.size(w).cast("double")
-    ),
-    "symbol_ratio": lambda t, w: F.when(F.length(t) == 0, F.lit(0.0)).otherwise(
-        F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]", "")).cast("double") / F.length(t).cast("double")
-    ),
-    "stop_words": lambda t, w: F.size(F.array_intersect(w, F.array(*map(F.lit, STOP_WORDS)))),
-    "line_share": lambda t, w: _share(_parts(t, "\r\n|\n|\r")),
-    "paragraph_share": lambda t, w: _share(_parts(t, "(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)")),
-    "sentence_share": lambda t, w: _share(_parts(t, "[.!?。！？]+|\n")),
-    "window_share": lambda t, w: F.when(F.size(w) < WINDOW, F.lit(0.0)).otherwise(_share(_windows(w))),
+def _unit_share(text: Column, units: Column) -> Column:
+    unspaced = F.length(F.regexp_replace(text, f"[^{UNSPACED}]+", ""))
+    width = F.when(unspaced * 2 >= F.size(units), WIDE_WINDOW).otherwise(WINDOW)
+    return _share(let(width, lambda n: _windows(units, n)))
+
+
+def _known_words(units: Column) -> Column:
+    lowered = F.transform(units, F.lower)
+    return let(lowered, lambda u: F.greatest(*(F.size(F.array_intersect(u, F.array(*map(F.lit, words)))) for words in STOP_WORDS.values())))
+
+
+#: What measures are taken of: the words of TESTDATA's case; units, which are words and, in scripts without spaces, characters;
+#: and lines, paragraphs and sentences, trimmed, empty ones left out.
+PARTS = {
+    "words": lambda t: F.filter(F.split(F.translate(t, UPPER, LOWER), SPACE), lambda w: w != ""),
+    "units": lambda t: F.regexp_extract_all(t, F.lit(f"[{UNSPACED}]|[^{EDGE}{UNSPACED}]+"), F.lit(0)),
+    "lines": lambda t: _parts(t, "\r\n|\n|\r"),
+    "paragraphs": lambda t: _parts(t, "(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)"),
+    "sentences": lambda t: _parts(t, "[.!?。！？]+|\n"),
 }
 
+#: Measures that a table can name, with the parts they need, from the text (t) and its parts (p).
+MEASURES = {
+    "n_chars": ((), lambda t, p: F.length(t)),
+    "n_words": (("words",), lambda t, p: F.size(p["words"])),
+    "n_units": (("units",), lambda t, p: F.size(p["units"])),
+    "mean_unit_chars": (("units",), lambda t, p: F.when(F.size(p["units"]) == 0, F.lit(0.0)).otherwise(_chars(p["units"]) / F.size(p["units"]).cast("double"))),
+    "symbol_ratio": ((), lambda t, p: F.when(F.length(t) == 0, F.lit(0.0)).otherwise(
+        F.length(F.regexp_replace(t, rf"[\p{{L}}\p{{N}}{EDGE}]", "")).cast("double") / F.length(t).cast("double")
+    )),
+    "stop_words": (("units",), lambda t, p: _known_words(p["units"])),
+    "line_share": (("lines",), lambda t, p: _share(p["lines"])),
+    "paragraph_share": (("paragraphs",), lambda t, p: _share(p["paragraphs"])),
+    "sentence_share": (("sentences",), lambda t, p: _share(p["sentences"])),
+    "window_share": (("words",), lambda t, p: _share(_windows(p["words"], F.lit(WINDOW)))),
+    "line_chars": (("lines",), lambda t, p: _char_share(p["lines"])),
+    "paragraph_chars": (("paragraphs",), lambda t, p: _char_share(p["paragraphs"])),
+    "sentence_chars": (("sentences",), lambda t, p: _char_share(p["sentences"])),
+    "unit_share": (("units",), lambda t, p: _unit_share(t, p["units"])),
+}
+#: The one share of a document, whatever the unit that is repeated: the largest of these.
+ANY_UNIT = ("line_chars", "paragraph_chars", "sentence_chars", "unit_share")
+
 
 def measure(docs: DataFrame, rules: tuple[Threshold, ...] = QUALITY, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Measures and broken rules of every document: the table becomes one projection over one scan, without
     user function or shuffle by key.
 
     Returns ``id_col``, one column per measure in ``rules`` and ``broken`` (names of the rules that the document breaks,
-    in the table's order). Units are lines, paragraphs and sentences (trimmed, empty ones left out) and windows of five
-    words; a share is one minus distinct units by units. Null, empty and blank texts have share 0 and no words. Every
-    input row gives a row, also copies and null ids; further columns are left out, so their names can't clash.
+    in the table's order). Shares of lines, paragraphs and sentences ending in ``_chars`` are shares of their characters
+    that repeat an earlier one, those of windows are one minus distinct windows by windows; ``repeated_share`` is the
+    largest of ``ANY_UNIT``. Windows are five words, or ten characters where a text is mostly in a script without spaces.
+    Null, empty and blank texts have share 0 and no words. Every input row gives a row, also copies and null ids; further
+    columns are left out, so their names can't clash.
     """
     names = list(dict.fromkeys(r.metric for r in rules))
+    plain = list(dict.fromkeys(m for n in names for m in (ANY_UNIT if n == "repeated_share" else (n,))))
+    parts = list(dict.fromkeys(p for n in plain for p in MEASURES[n][0]))
 
     def judge(t: Column) -> Column:
-        measured = let(_words(t), lambda w: F.struct(*(MEASURES[n](t, w).alias(n) for n in names)))
-        return let(
-            measured,
-            lambda m: F.struct(
-                *(m[n].alias(n) for n in names),
-                F.array_compact(F.array(*(F.when(r.broken(m[r.metric].cast("double")), F.lit(r.rule)) for r in rules))).alias("broken"),
-            ),
-        )
+        taken = F.struct(*(PARTS[n](t).alias(n) for n in parts)) if parts else F.struct(F.lit(0).alias("none"))
+        measured = let(taken, lambda p: F.struct(*(MEASURES[n][1](t, p).alias(n) for n in plain)))
+
+        def rated(m: Column) -> Column:
+            value = lambda n: F.greatest(*(m[x] for x in ANY_UNIT)) if n == "repeated_share" else m[n]
+            broken = F.array_compact(F.array(*(F.when(r.broken(value(r.metric).cast("double")), F.lit(r.rule)) for r in rules)))
+            return F.struct(*(value(n).alias(n) for n in names), broken.alias("broken"))
+
+        return let(measured, rated)
 
     rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")))
     judged = rows.select("_id", let(F.coalesce(F.col("_text"), F.lit("")), judge).alias("_m"))
