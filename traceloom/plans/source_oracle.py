@@ -106,6 +106,13 @@ def oracle_sql() -> dict[str, str]:
         "elf_functions": f"WITH {FOUND} SELECT * FROM f",
         "elf_order": f'WITH {FOUND} SELECT "binary", entry, row_number() OVER (PARTITION BY "binary" ORDER BY {_ENTRY_ORDER}) - 1 AS place FROM f',
         "elf_segments": f'WITH {LOADS} SELECT "binary", segment, vaddr, 64 AS n_bytes, mem_size, true AS exec, false AS "write" FROM s',
+        "elf_memory": f"""
+            WITH {LOADS} SELECT "binary", segment, 32768 AS n_bytes, md5(unhex(repeat('90', 64) || repeat('00', 32704))) AS bytes_md5 FROM s""",
+        "mapped_pages": f"""
+            WITH p AS (SELECT DISTINCT "binary", unnest(range(a // 4096, (a + complexity * 300 - 1) // 4096 + 1)) AS p FROM
+              (SELECT "binary", complexity, ({_u("entry")} % {1 << 62})::BIGINT AS a FROM funcs WHERE complexity > 0)),
+            g AS (SELECT *, p - row_number() OVER (PARTITION BY "binary" ORDER BY p) AS g FROM p)
+            SELECT "binary", min(p) * 4096 + CASE WHEN min(p) >= {1 << 49} THEN -{1 << 62} ELSE 0 END AS first, count(*) AS n_pages FROM g GROUP BY "binary", g""",
         "elf_indexable": f'WITH {FOUND}, {LOADS} SELECT "binary", entry FROM f WHERE EXISTS (SELECT 1 FROM s WHERE s."binary" = f."binary" AND {_INSIDE.format(x="f.entry")})',
         "elf_refused": """
             SELECT "binary", CASE length("binary") % 6 WHEN 0 THEN 'no segment is loaded' WHEN 1 THEN 'a segment of 1073741825 bytes is over the limit'

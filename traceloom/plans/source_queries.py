@@ -64,6 +64,17 @@ def elf_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf)[1].select("binary", "segment", "vaddr", F.length("bytes").alias("n_bytes"), "mem_size", "exec", "write")
 
 
+def elf_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments as they lie in memory."""
+    whole = elf.whole_bytes(_read(spark, sf)[1])
+    return whole.select("binary", "segment", F.length("bytes").alias("n_bytes"), F.md5("bytes").alias("bytes_md5"))
+
+
+def mapped_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that the functions of each binary touch, a function taken as 300 bytes for each point of its complexity."""
+    return elf.mapped_pages(_funcs(spark, sf).select("binary", F.col("entry").alias("vaddr"), (F.col("complexity") * 300).alias("mem_size")))
+
+
 def elf_indexable(spark: SparkSession, sf: str) -> DataFrame:
     functions, segments, _ = _read(spark, sf)
     return elf.indexable(functions, segments).select("binary", "entry")

@@ -343,6 +343,32 @@ def in_segments(accesses: DataFrame, segments: DataFrame, length: int = 1) -> Da
     return accesses.join(first, ["binary", "addr"], "left").withColumn("in_segment", F.col("segment").isNotNull())
 
 
+def whole_bytes(segments: DataFrame) -> DataFrame:
+    """``segments`` with ``bytes`` as they lie in memory: the file's window and zeros up to ``mem_size``."""
+    return segments.withColumn("bytes", F.rpad("bytes", F.col("mem_size").cast("int"), F.lit(b"\0")))
+
+
+def mapped_pages(spans: DataFrame) -> DataFrame:
+    """``binary, first, n_pages``: the pages that spans of addresses (``binary, vaddr, mem_size``) need, as longest runs of pages.
+
+    A span covers every page that it touches; overlapping and adjoining ones share a run, so no page counts twice. Ends are
+    rounded without wrapping at the top of the address space; empty spans need no page. Addresses are unsigned. Spans of
+    one binary meet in one task.
+    """
+    page, top = C.PAGE, (1 << 52) - 1  # numbers of pages are small enough for signed arithmetic
+    number = lambda x: F.shiftrightunsigned(x, 12)
+    held = spans.where("mem_size > 0").select(
+        "binary", number(F.col("vaddr")).alias("_a"),
+        # the last page by the offset inside the first one, so that nothing can wrap
+        F.least(F.lit(top), number(F.col("vaddr")) + F.floor((F.col("vaddr").bitwiseAND(F.lit(page - 1)) + F.col("mem_size") - 1) / page)).alias("_z"),
+    )
+    w = Window.partitionBy("binary").orderBy("_a", "_z")
+    reached = F.max("_z").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = held.withColumn("_new", F.coalesce((F.col("_a") > reached + 1).cast("int"), F.lit(0))).withColumn("_g", F.sum("_new").over(w))
+    made = runs.groupBy("binary", "_g").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"))
+    return made.select("binary", F.shiftleft("_a", 12).alias("first"), (F.col("_z") - F.col("_a") + 1).alias("n_pages"))
+
+
 def name_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Adds ``sym`` to ``calls`` (``binary, target``): the named function at the target; null for others, so imported
     functions, which have no body here, stay anonymous."""
