@@ -32,6 +32,27 @@ def test_same_threshold_is_113_slots(spark):
     assert {r.name: r.status for r in R.match_by_name(a, b).collect()} == {"x": "same", "y": "changed"}
 
 
+def test_hot_buckets_are_passed_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(60) for _ in range(128)]
+
+    def like(edits, keep=8):
+        out = list(base)
+        for i in rng.sample(range(keep, 128), edits):
+            out[i] = rng.getrandbits(60)
+        return out
+
+    target = [func(i, 0, None, slots=like(rng.choice([2, 20, 60, 118]))) for i in range(60)] + [func(90 + i, 0, None, slots=[rng.getrandbits(60) for _ in range(128)]) for i in range(3)]
+    known = [func(i, 0, f"n{i}", slots=like(rng.choice([2, 20, 60, 118]))) for i in range(60)] + [func(100 + i, 0, f"n{i}", slots=target[i][-1]) for i in range(5)]
+    t, k = funcs(spark, target), funcs(spark, known)
+    want = sorted(map(str, M.best_match(t, k).collect()))
+    monkeypatch.setattr(M, "HOT_BUCKET", 5)
+    assert M.seek(t).hot is not None
+    assert sorted(map(str, M.best_match(t, k).collect())) == want and len(want) == 63
+
+
 def test_bands_compare_band_by_band(spark):
     # four equal slots in another band give the same key but no candidate
     run = [11, 12, 13, 14]

@@ -86,7 +86,7 @@ class _Tops:
     def __init__(self, q: np.ndarray, sigs: np.ndarray, k: int, least: int):
         self.q, self.sigs, self.thin, self.least, self.best = q, sigs, _thin(sigs), least, Best(len(q), k)
 
-    def see(self, place: np.ndarray, sigs: np.ndarray) -> None:
+    def see(self, place: np.ndarray, sigs: np.ndarray, *_: np.ndarray) -> None:
         thin = _thin(sigs)
         for i in range(0, len(self.q), _TILE):
             s = slice(i, i + _TILE)
@@ -100,6 +100,22 @@ class _Tops:
         return list(self.best.found(self.q))
 
 
+class _Tagged:
+    """The best row with the same tag for each query of a block; rows of other tags aren't compared."""
+
+    def __init__(self, q: np.ndarray, sigs: np.ndarray, tag: np.ndarray):
+        self.q, self.sigs, self.tag, self.best = q, sigs, tag, Best(len(q), 1)
+
+    def see(self, place: np.ndarray, sigs: np.ndarray, tag: np.ndarray) -> None:
+        for i in range(0, len(self.q), _TILE):
+            a, b = np.nonzero(self.tag[i : i + _TILE, None] == tag[None, :])
+            self.best.add(a + i, place[b], _whole(self.sigs, a + i, sigs, b))
+
+    def out(self) -> list[np.ndarray]:
+        seen = self.best.score[:, 0] >= 0
+        return [x[seen] for x in (self.q, self.tag, self.best.who[:, 0], self.best.score[:, 0].astype(np.int64))]
+
+
 class _Ranks:
     """Per query of a block: how many rows are ahead of a bar, and the best row."""
 
@@ -107,7 +123,7 @@ class _Ranks:
         self.q, self.sigs, self.thin, self.bar, self.bar_place = q, sigs, _thin(sigs), bar, bar_place
         self.ahead, self.best = np.zeros(len(q), np.int64), Best(len(q), 1)
 
-    def see(self, place: np.ndarray, sigs: np.ndarray) -> None:
+    def see(self, place: np.ndarray, sigs: np.ndarray, *_: np.ndarray) -> None:
         thin = _thin(sigs)
         for i in range(0, len(self.q), _TILE):
             s = slice(i, i + _TILE)
@@ -125,17 +141,19 @@ class _Ranks:
 
 
 def _through(queries: DataFrame, rows: DataFrame, extra: tuple[str, ...], make: Callable, names: list[str], block: int, share: int, stored: bool) -> DataFrame:
-    """Groups of a block of queries (``q, sig, *extra``) and a share of rows (``place, sig``), each seen by what ``make`` gives."""
+    """Groups of a block of queries (``q, sig, *extra``) and a share of rows (``place, sig``), each seen by what ``make`` gives. Rows
+    have those of the extra columns that they share with the queries."""
+    shared = [c for c in extra if c in rows.columns]
     queries = materialize(queries.select(F.col("q").cast("long").alias("q"), "sig", *(F.col(c).cast("long").alias(c) for c in extra)), "queries")
-    rows = rows.select(F.col("place").cast("long").alias("place"), "sig")
+    rows = rows.select(F.col("place").cast("long").alias("place"), "sig", *(F.col(c).cast("long").alias(c) for c in shared))
     rows = rows if stored else materialize(rows, "rows")
     blocks, n = max(1, -(-queries.count() // block)), rows.count()
     # small inputs are dealt to all cores
     shares = max(1, -(-n // share), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_SHARE)))
-    number = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    number = lambda c, m: F.pmod(F.xxhash64(c, *shared), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     q = queries.select(number("q", blocks).alias("b"), every(shares).alias("s"), F.lit(0).alias("kind"), F.col("q").alias("n"), "sig", *extra)
-    none = [F.lit(0).cast("long").alias(c) for c in extra]
+    none = [F.col(c) if c in shared else F.lit(0).cast("long").alias(c) for c in extra]
     r = rows.select(every(blocks).alias("b"), number("place", shares).alias("s"), F.lit(1).alias("kind"), F.col("place").alias("n"), "sig", *none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +180,8 @@ def _through(queries: DataFrame, rows: DataFrame, extra: tuple[str, ...], make:
                     if state is None:
                         state, held = make(*(np.concatenate(x) for x in zip(*held))), []
                     for k in range(i, j, _ROWS):
-                        state.see(n[k : min(j, k + _ROWS)], sigs[k : min(j, k + _ROWS)])
+                        part = slice(k, min(j, k + _ROWS))
+                        state.see(n[part], sigs[part], *(x[part] for x in others))
         yield from done()
 
     dealt = q.unionByName(r).repartition("b", "s").sortWithinPartitions("b", "s", "kind", "n")
@@ -188,3 +207,13 @@ def nearest_in_blocks(queries: DataFrame, rows: DataFrame, k: int, least: int =
     are among them: at least ``least`` agreeing slots, more first, then the smaller place. Null-free signatures of 128 slots;
     empty sides give no rows. Both inputs are stored and counted when the plan is built; ``stored`` tells that the rows already are."""
     return _through(queries, rows, (), lambda q, sigs: _Tops(q, sigs, k, least), ["q", "place", "equal"], block, share, stored)
+
+
+def best_with_tag(queries: DataFrame, rows: DataFrame, block: int = BLOCK, share: int = SHARE, stored: bool = False) -> DataFrame:
+    """``q, tag, place, equal``: for each query (``q, sig, tag``) the row (``place, sig, tag``) of its own tag with the most agreeing
+    slots and, of equals, the smallest place. Ids may come with several tags. A tag that very many queries and rows share
+    is dealt like all others, so its pairs are compared in many tasks and never leave them; a query whose tag no row has
+    gives no row."""
+    partial = _through(queries, rows, ("tag",), _Tagged, ["q", "tag", "place", "equal"], block, share, stored)
+    best = F.min(F.struct((-F.col("equal")).alias("e"), F.col("place").alias("p"))).alias("_t")
+    return partial.groupBy("q", "tag").agg(best).select("q", "tag", F.col("_t.p").alias("place"), (-F.col("_t.e")).alias("equal"))

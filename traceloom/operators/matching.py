@@ -6,6 +6,8 @@ whether a target has any candidate, and that one is asked of distinct (band, key
 
 The targets' classes and each corpus's winners are stored once. Two classes with b equal bands agree in 4 b slots at
 least and in 96 + b at most, so only pairs that could still be the best of their target are compared slot by slot.
+Of a bucket that very many target classes share no pairs are made at all: it is passed in blocks (``operators/blocks``).
+So the pairs are at most ``HOT_BUCKET`` for each band of a known class.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from pyspark.sql import functions as F
 
 from traceloom import constants as C
 from traceloom.functions.signature import equal_slots
-from traceloom.operators.blocks import against_all
+from traceloom.operators.blocks import against_all, best_with_tag
 from traceloom.operators.corpus import derive_bands, has_signal, is_known, well_formed
 from traceloom.operators.shared import materialize
 
+#: Target classes in one bucket from which on the bucket is passed in blocks.
+HOT_BUCKET = 2000
+
 
 def _digests(*more: str | Column) -> list[str | Column]:
     return [*more, F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), F.col("sig")).alias("h2")]
@@ -91,13 +96,28 @@ class Seekers:
     rows: DataFrame
     classes: DataFrame
     bands: DataFrame
+    #: Buckets (``band, key``) with more than ``HOT_BUCKET`` classes; None if there is none.
+    hot: DataFrame | None
 
 
 def seek(target: DataFrame) -> Seekers:
     """Prepare the rows of ``target`` with enough signal; malformed ones are skipped. Stores one row per signature."""
     wanted = well_formed(target).where(has_signal())
     classes = materialize(_classes(wanted), "seekers")
-    return Seekers(wanted.select(*_digests("id")), classes, _bands(classes, "t"))
+    bands = _bands(classes, "t")
+    hot = materialize(bands.groupBy("band", "key").count().where(F.col("count") > HOT_BUCKET).select("band", "key"), "hot")
+    return Seekers(wanted.select(*_digests("id")), classes, bands, None if hot.isEmpty() else hot)
+
+
+def _in_hot_buckets(seekers: Seekers, known: DataFrame) -> DataFrame:
+    """``t, c, equal``: the best known class of each hot bucket for each class that lies in it. The bucket's pairs are
+    compared in blocks and aren't made."""
+    tag = F.xxhash64("band", "key").alias("tag")
+    t = seekers.bands.join(seekers.hot, ["band", "key"], "left_semi").select(F.col("t").alias("q"), tag)
+    c = _bands(known, "c").join(seekers.hot, ["band", "key"], "left_semi").select(F.col("c").alias("place"), tag)
+    asked = t.join(seekers.classes.select(F.col("rep").alias("q"), "sig"), "q")
+    found = best_with_tag(asked, c.join(known.select(F.col("rep").alias("place"), "sig"), "place"))
+    return found.select(F.col("q").alias("t"), F.col("place").alias("c"), F.col("equal").cast("int").alias("equal"))
 
 
 def best_match(target: DataFrame | Seekers, corpus: DataFrame) -> DataFrame:
@@ -112,12 +132,21 @@ def best_match(target: DataFrame | Seekers, corpus: DataFrame) -> DataFrame:
     whole = well_formed(corpus)
     known = _classes(whole.where(is_known()), "name", "binary")
 
-    pairs = seekers.bands.join(_bands(known, "c"), ["band", "key"]).groupBy("t", "c").agg(F.count("*").cast("int").alias("b"))
+    bands, unseen = seekers.bands, F.lit(0)
+    if seekers.hot is not None:
+        # equal bands in hot buckets aren't counted, so they could add to any pair of their target
+        own = bands.join(seekers.hot.withColumn("hot", F.lit(1)), ["band", "key"], "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+        bands = own.withColumn("h", F.sum("hot").over(Window.partitionBy("t"))).where("hot = 0").drop("hot")
+        unseen = F.max("h")
+    pairs = bands.join(_bands(known, "c"), ["band", "key"]).groupBy("t", "c").agg(F.count("*").cast("int").alias("b"), unseen.alias("h"))
     most = F.max("b").over(Window.partitionBy("t"))
-    near = pairs.withColumn("most", most).where(F.col("b") + (C.SLOTS - C.BANDS) >= F.col("most") * C.BAND_ROWS).select("t", "c")
+    near = pairs.withColumn("most", most).where(F.col("b") + F.col("h") + (C.SLOTS - C.BANDS) >= F.col("most") * C.BAND_ROWS).select("t", "c")
     sig_t = seekers.classes.select(F.col("rep").alias("t"), F.col("sig").alias("sig_t"))
     told = known.select(F.col("rep").alias("c"), F.col("sig").alias("sig_c"), F.col("name").alias("guess"), F.col("binary").alias("from_binary"))
     scored = near.join(sig_t, "t").join(told, "c").select("t", "c", equal_slots(F.col("sig_t"), F.col("sig_c")).alias("equal"), "guess", "from_binary")
+    if seekers.hot is not None:
+        names = known.select(F.col("rep").alias("c"), F.col("name").alias("guess"), F.col("binary").alias("from_binary"))
+        scored = scored.unionByName(_in_hot_buckets(seekers, known).join(names, "c"))
     first = F.min_by(F.struct("c", "equal", "guess", "from_binary"), F.struct((-F.col("equal")).alias("e"), F.col("c"))).alias("_b")
     best = materialize(scored.groupBy("t").agg(first).select("t", "_b.*"), "best")
 

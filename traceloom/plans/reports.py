@@ -9,8 +9,8 @@ from traceloom import constants as C
 from traceloom.functions import render
 from traceloom.functions.effects import in_order
 from traceloom.functions.hashing import unsigned_order
-from traceloom.functions.signature import equal_slots, similarity
-from traceloom.operators.blocks import against_all
+from traceloom.functions.signature import similarity
+from traceloom.operators.blocks import against_all, best_with_tag
 from traceloom.operators.corpus import has_signal, is_known, well_formed
 from traceloom.operators.matching import best_in_each, best_match
 from traceloom.operators.numbering import number_rows
@@ -129,15 +129,11 @@ def evaluate_ranks(a: DataFrame, b: DataFrame, order: str = "id") -> DataFrame:
     rows_a = well_formed(a).where(is_known() & has_signal()).join(rows_b.select("name").distinct(), "name", "left_semi")
     places = number_rows(rows_b.select("name", "sig", F.col(order).alias("_o"), F.col("id").alias("_id")), "_o", "_id").select("name", "sig", "place")
 
-    # of namesakes with one signature the first can be the best
-    twins = places.groupBy("name", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), F.col("sig")).alias("h2")).agg(
-        F.min("place").alias("place"), F.any_value("sig").alias("twin_sig")
-    )
-    paired = rows_a.select("id", "name", "sig").join(twins, "name")
-    scored = paired.select("id", "place", equal_slots(F.col("sig"), F.col("twin_sig")).alias("equal"))
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("equal")).alias("e"), F.col("place").alias("p"))).alias("_t"))
-    best = best.select("id", (-F.col("_t.e")).alias("bar"), F.col("_t.p").alias("bar_place"))
-    asked = rows_a.select("id", "sig").join(best, "id").select(F.col("id").alias("q"), "sig", "bar", "bar_place")
+    # the best namesake sets the bar; names are tags, so that a name that very many rows share makes no pairs
+    tag = F.xxhash64("name").alias("tag")
+    best = best_with_tag(rows_a.select(F.col("id").alias("q"), "sig", tag), places.select("place", "sig", tag), stored=True)
+    bars = best.select("q", F.col("equal").alias("bar"), F.col("place").alias("bar_place"))
+    asked = rows_a.select(F.col("id").alias("q"), "sig").join(bars, "q")
     seen = against_all(asked, places.select("place", "sig"), stored=True)
     named = seen.join(places.select(F.col("place").alias("top_place"), F.col("name").alias("top_name")), "top_place")
     named = named.join(rows_a.select(F.col("id").alias("q"), "name"), "q")
