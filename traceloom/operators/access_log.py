@@ -111,6 +111,7 @@ def effects_from_log(log: DataFrame, caps: Caps = Caps()) -> DataFrame:
     effects of their instruction; a run that was cut off ends with a capped effect, so it can hold one more than the
     bound. Runs without effects have no row unless they were cut; null addresses have no effect.
     """
+    log = log.repartition("run")  # the one shuffle: all windows are over the run, or over a part of it
     rows = read_footprint(first_touches(log, caps), caps)
     place = {k: F.col(f"place.{k}") for k in ("region", "region_k")}
     null = {"region": "string", "region_k": "int", "off": "int", "val": "string", "val_k": "bigint", "sym": "string", "nr": "bigint"}
