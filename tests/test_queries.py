@@ -38,3 +38,11 @@ def test_ranks_with_ids_that_are_hashes(spark):
     assert ranks(funcs) == ranks(far)
     plan = reports.evaluate_ranks(far, far)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_every_cap_of_the_log_is_reached(spark):
+    cut = source_queries.log_effects_tight(spark, SMALL).where("kind = 'capped'").groupBy("limit").count()
+    assert {r["limit"] for r in cut.collect()} == set(source_queries.TIGHT) - {"told"}
+    told = source_queries.log_effects_tight(spark, SMALL).where("limit = 'told' AND kind IN ('read', 'new_region')")
+    most = {r.kind: r.n for r in told.groupBy("run", "kind").count().groupBy("kind").agg({"count": "max"}).toDF("kind", "n").collect()}
+    assert most["read"] == 10

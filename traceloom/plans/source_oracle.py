@@ -99,8 +99,10 @@ _ENTRY_ORDER = _u("entry")
 
 
 def oracle_sql() -> dict[str, str]:
-    tight = {"instructions": 900, "visits": 14, "effects": 5000, "reads": 20, "heap_pages": 6, "run_pages": 9}
-    far = dict.fromkeys(tight, 1 << 30)
+    far = dict.fromkeys(("instructions", "visits", "effects", "reads", "heap_pages", "run_pages"), 1 << 30)
+    tight = {
+        "instructions": {"instructions": 30}, "visits": {"visits": 2}, "effects": {"effects": 40}, "told": {"reads": 10, "heap_pages": 3}, "run_pages": {"run_pages": 9},
+    }
     mnemonics = "['call', 'callq', 'ret', 'retq', 'syscall', 'sysenter', 'int', 'int3', 'jmp', 'jmpq', 'je', 'jne', 'js', 'mov', 'nop', 'lea']"
     return {
         "elf_functions": f"WITH {FOUND} SELECT * FROM f",
@@ -147,7 +149,7 @@ def oracle_sql() -> dict[str, str]:
             WITH first AS (SELECT "binary", arg_min(sig, id) AS first FROM funcs WHERE len(sig) > 0 GROUP BY "binary")
             SELECT id, coalesce(CASE WHEN len(sig) = len(first) AND len(sig) > 0 THEN {AGREE.format(a="sig", b="first")} / len(sig) END, 0.0)::DOUBLE AS similarity FROM funcs LEFT JOIN first USING ("binary")""",
         "dump_lines": DUMP,
-        "log_effects_tight": capped(LOG_EFFECTS, **tight),
+        "log_effects_tight": " UNION ALL ".join(f"SELECT *, '{name}' AS \"limit\" FROM ({capped(LOG_EFFECTS, **(far | caps))})" for name, caps in tight.items()),
         "log_effects_uncapped": capped(LOG_EFFECTS, **far),
         "branch_outcomes": capped(f"WITH {_BRANCHES} SELECT * FROM o"),
         "exploration_plans": capped(_PLANS),
