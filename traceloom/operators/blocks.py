@@ -85,8 +85,13 @@ class _Tops:
 
     def __init__(self, q: np.ndarray, sigs: np.ndarray, k: int, least: int):
         self.q, self.sigs, self.thin, self.least, self.best = q, sigs, _thin(sigs), least, Best(len(q), k)
+        self.last: int | None = None
 
     def see(self, place: np.ndarray, sigs: np.ndarray, *_: np.ndarray) -> None:
+        # rows of a share come in the order of their places, so one that was delivered twice follows itself
+        fresh = np.concatenate([[place[0] != self.last], place[1:] != place[:-1]])
+        self.last = int(place[-1])
+        place, sigs = place[fresh], sigs[fresh]
         thin = _thin(sigs)
         for i in range(0, len(self.q), _TILE):
             s = slice(i, i + _TILE)
@@ -204,7 +209,8 @@ def against_all(queries: DataFrame, rows: DataFrame, block: int = BLOCK, share:
 
 def nearest_in_blocks(queries: DataFrame, rows: DataFrame, k: int, least: int = 0, block: int = BLOCK, share: int = SHARE, stored: bool = False) -> DataFrame:
     """``q, place, equal``: for each query (``q, sig``) the ``k`` best rows (``place, sig``) of every share, so the k best of all
-    are among them: at least ``least`` agreeing slots, more first, then the smaller place. Null-free signatures of 128 slots;
+    are among them: at least ``least`` agreeing slots, more first, then the smaller place. A place that is delivered twice is
+    one row. Null-free signatures of 128 slots;
     empty sides give no rows. Both inputs are stored and counted when the plan is built; ``stored`` tells that the rows already are."""
     return _through(queries, rows, (), lambda q, sigs: _Tops(q, sigs, k, least), ["q", "place", "equal"], block, share, stored)
 
