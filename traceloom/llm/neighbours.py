@@ -352,9 +352,10 @@ def exact_neighbours(funcs: DataFrame, asked: Column, k: int = 5, least: int = 9
     The exact way, and the measure of the index: the work is queries times rows, so it is meant for a stated query set.
     Repeated ids are one neighbour and one query.
     """
-    rows = eligible(funcs).select(F.col("id").cast("long").alias("place"), "sig").dropDuplicates(["place"])
-    queries = rows.where(asked).select(F.col("place").alias("q"), "sig")
-    found = nearest_in_blocks(queries, rows, k + 1, least).where("q <> place")
+    rows = eligible(funcs).select(F.col("id").cast("long").alias("place"), "sig")
+    queries = rows.where(asked).select(F.col("place").alias("q"), "sig").dropDuplicates(["q"])
+    # the rows are a filtered table: reading them again costs less than storing them
+    found = nearest_in_blocks(queries, rows, k + 1, least, stored=True).where("q <> place")
     best = Window.partitionBy("q").orderBy(F.col("equal").desc(), "place")
     ranked = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
     return ranked.select(F.col("q").alias("id"), F.col("place").alias("neighbour_id"), F.col("equal").cast("int").alias("agree"))
