@@ -145,14 +145,16 @@ class _Ranks:
         return [x[seen] for x in (self.q, self.ahead, self.best.score[:, 0].astype(np.int64), self.best.who[:, 0])]
 
 
-def _through(queries: DataFrame, rows: DataFrame, extra: tuple[str, ...], make: Callable, names: list[str], block: int, share: int, stored: bool) -> DataFrame:
+def _through(queries: DataFrame, rows: DataFrame, extra: tuple[str, ...], make: Callable, names: list[str], block: int, share: int, stored: bool, asked: int | None = None) -> DataFrame:
     """Groups of a block of queries (``q, sig, *extra``) and a share of rows (``place, sig``), each seen by what ``make`` gives. Rows
     have those of the extra columns that they share with the queries."""
     shared = [c for c in extra if c in rows.columns]
-    queries = materialize(queries.select(F.col("q").cast("long").alias("q"), "sig", *(F.col(c).cast("long").alias(c) for c in extra)), "queries")
+    queries = queries.select(F.col("q").cast("long").alias("q"), "sig", *(F.col(c).cast("long").alias(c) for c in extra))
+    if asked is None:
+        queries = materialize(queries, "queries")
     rows = rows.select(F.col("place").cast("long").alias("place"), "sig", *(F.col(c).cast("long").alias(c) for c in shared))
     rows = rows if stored else materialize(rows, "rows")
-    blocks, n = max(1, -(-queries.count() // block)), rows.count()
+    blocks, n = max(1, -(-(queries.count() if asked is None else asked) // block)), rows.count()
     # small inputs are dealt to all cores
     shares = max(1, -(-n // share), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_SHARE)))
     number = lambda c, m: F.pmod(F.xxhash64(c, *shared), F.lit(m)).cast("int")
@@ -193,15 +195,16 @@ def _through(queries: DataFrame, rows: DataFrame, extra: tuple[str, ...], make:
     return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
-def against_all(queries: DataFrame, rows: DataFrame, block: int = BLOCK, share: int = SHARE, stored: bool = False) -> DataFrame:
+def against_all(queries: DataFrame, rows: DataFrame, block: int = BLOCK, share: int = SHARE, stored: bool = False, asked: int | None = None) -> DataFrame:
     """``q, ahead, top_equal, top_place`` of every query, compared with all rows by agreeing slots.
 
     ``queries`` has ``q, sig, bar, bar_place``: ``ahead`` counts the rows that agree in more than ``bar`` slots, or in as many
     with a smaller ``place`` than ``bar_place``. ``rows`` has ``place, sig``; the best row has the most agreeing slots and, of
     equals, the smallest place. All signatures have 128 slots without nulls; no rows, or no queries, give no result.
-    Both inputs are stored and counted when the plan is built; ``stored`` tells that the rows already are.
+    Both inputs are stored and counted when the plan is built; ``stored`` tells that the rows already are, ``asked`` that the
+    queries are, and how many there are.
     """
-    partial = _through(queries, rows, ("bar", "bar_place"), _Ranks, ["q", "ahead", "top_equal", "top_place"], block, share, stored)
+    partial = _through(queries, rows, ("bar", "bar_place"), _Ranks, ["q", "ahead", "top_equal", "top_place"], block, share, stored, asked)
     best = F.min(F.struct((-F.col("top_equal")).alias("e"), F.col("top_place").alias("p"))).alias("_t")
     summed = partial.groupBy("q").agg(F.sum("ahead").alias("ahead"), best)
     return summed.select("q", "ahead", (-F.col("_t.e")).alias("top_equal"), F.col("_t.p").alias("top_place"))

@@ -19,7 +19,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom import constants as C
 from traceloom.functions import effects as E
 from traceloom.functions import signature as S
 from traceloom.functions.hashing import unsigned_order

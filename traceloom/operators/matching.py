@@ -4,7 +4,7 @@ Rows of one signature are one class on either side, so a signature that a third
 Trivial functions fill the largest band buckets; they can't be anyone's match, so they only take part in the question
 whether a target has any candidate, and that one is asked of distinct (band, key), for the targets that have no other.
 
-The targets' classes and each corpus's winners are stored once. Two classes with b equal bands agree in 4 b slots at
+The classes of either side and each corpus's winners are stored once. Two classes with b equal bands agree in 4 b slots at
 least and in 96 + b at most, so only pairs that could still be the best of their target are compared slot by slot.
 Of a bucket that very many target classes share no pairs are made at all: it is passed in blocks (``operators/blocks``).
 So the pairs are at most ``HOT_BUCKET`` for each band of a known class.
@@ -105,7 +105,7 @@ def seek(target: DataFrame) -> Seekers:
     wanted = well_formed(target).where(has_signal())
     classes = materialize(_classes(wanted), "seekers")
     bands = _bands(classes, "t")
-    hot = materialize(bands.groupBy("band", "key").count().where(F.col("count") > HOT_BUCKET).select("band", "key"), "hot")
+    hot = bands.groupBy("band", "key").count().where(F.col("count") > HOT_BUCKET).select("band", "key")
     return Seekers(wanted.select(*_digests("id")), classes, bands, None if hot.isEmpty() else hot)
 
 
@@ -120,7 +120,7 @@ def _in_hot_buckets(seekers: Seekers, known: DataFrame) -> DataFrame:
     return found.select(F.col("q").alias("t"), F.col("place").alias("c"), F.col("equal").cast("int").alias("equal"))
 
 
-def best_match(target: DataFrame | Seekers, corpus: DataFrame) -> DataFrame:
+def best_match(target: DataFrame, corpus: DataFrame) -> DataFrame:
     """For each row of ``target`` with enough signal its most similar known function of the corpus.
 
     Returns ``id, similarity, guess, from_binary, func_id``. The pool is the rows that share a band; only if no row at all
@@ -128,10 +128,19 @@ def best_match(target: DataFrame | Seekers, corpus: DataFrame) -> DataFrame:
     of at least 4 count; a target whose pool holds none has no row. Ties go to the smallest id. Malformed rows on either
     side are skipped; copies of a target get a row each. Building the plan runs jobs, as intermediate tables are stored.
     """
-    seekers = target if isinstance(target, Seekers) else seek(target)
-    whole = well_formed(corpus)
-    known = _classes(whole.where(is_known()), "name", "binary")
+    return best_in_each(target, [corpus])[0]
 
+
+def best_in_each(target: DataFrame, corpora: Sequence[DataFrame]) -> list[DataFrame]:
+    """``best_match`` of one target in several corpora. The target is prepared once, beside the corpora; these are worked on
+    side by side."""
+    known = lambda corpus: materialize(_classes(well_formed(corpus).where(is_known()), "name", "binary"), "known")
+    with ThreadPoolExecutor(len(corpora) + 1) as pool:
+        seekers, prepared = pool.submit(seek, target), [pool.submit(known, c) for c in corpora]
+        return list(pool.map(lambda c, k: _lookup(seekers.result(), c, k.result()), corpora, prepared))
+
+
+def _lookup(seekers: Seekers, corpus: DataFrame, known: DataFrame) -> DataFrame:
     bands, unseen = seekers.bands, F.lit(0)
     if seekers.hot is not None:
         # equal bands in hot buckets aren't counted, so they could add to any pair of their target
@@ -152,11 +161,10 @@ def best_match(target: DataFrame | Seekers, corpus: DataFrame) -> DataFrame:
 
     # rows that can't be a match still tell that a target has a candidate
     alone = seekers.classes.join(best.select(F.col("t").alias("rep")), "rep", "left_anti").select(F.col("rep").alias("id"), "sig")
-    lost = materialize(without_candidate(alone, whole.where(~F.coalesce(is_known(), F.lit(False)))), "lost")
-    if not lost.isEmpty():
+    lost = materialize(without_candidate(alone, well_formed(corpus).where(~F.coalesce(is_known(), F.lit(False)))), "lost")
+    if n_lost := lost.count():
         asked = lost.select(F.col("id").alias("q"), "sig", F.lit(C.SLOTS).alias("bar"), F.lit(0).alias("bar_place"))
-        known = materialize(known, "known")
-        scanned = against_all(asked, known.select(F.col("rep").alias("place"), "sig"), stored=True)
+        scanned = against_all(asked, known.select(F.col("rep").alias("place"), "sig"), stored=True, asked=n_lost)
         names = known.select(F.col("rep").alias("top_place"), F.col("name").alias("guess"), F.col("binary").alias("from_binary"))
         scanned = scanned.join(names, "top_place")
         best = best.unionByName(scanned.select(F.col("q").alias("t"), F.col("top_place").alias("c"), F.col("top_equal").cast("int").alias("equal"), "guess", "from_binary"))
@@ -164,10 +172,3 @@ def best_match(target: DataFrame | Seekers, corpus: DataFrame) -> DataFrame:
     found = best.join(seekers.classes.select(F.col("rep").alias("t"), "h1", "h2"), "t")
     similarity = (F.col("equal") / F.lit(C.SLOTS)).alias("similarity")
     return seekers.rows.join(found, ["h1", "h2"]).select("id", similarity, "guess", "from_binary", F.col("c").alias("func_id"))
-
-
-def best_in_each(target: DataFrame, corpora: Sequence[DataFrame]) -> list[DataFrame]:
-    """``best_match`` of one target in several corpora. The target is prepared once; the corpora are worked on side by side."""
-    seekers = seek(target)
-    with ThreadPoolExecutor(len(corpora)) as pool:
-        return list(pool.map(lambda corpus: best_match(seekers, corpus), corpora))

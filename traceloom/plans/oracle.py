@@ -92,7 +92,6 @@ SELECT t.trace_id, coalesce(n, 0)::INTEGER AS n_shingles FROM traces t LEFT JOIN
 _PERM = ", ".join(
     f"({i}, {((C.PERM_A[i % 8] * (i | 1) + C.PERM_A_ADD) % TWO64) | 1}::UHUGEINT, {(C.PERM_B[i % 8] + i * C.PERM_B_STEP) % TWO64}::UHUGEINT)" for i in range(C.SLOTS)
 )
-_SAME_EFFECT = " AND ".join(f"e.{c} IS NOT DISTINCT FROM d.{c}" for c in FIELDS.split(", "))
 def fingerprints(source: str = "traces", key: str = "func_id") -> str:
     """Fingerprint of every key of a relation with ``trace_id``, a key, ``effects`` and ``capped``."""
     return f"""

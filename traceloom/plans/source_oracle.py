@@ -138,6 +138,9 @@ def oracle_sql() -> dict[str, str]:
         "index_totals": "SELECT count(*) AS functions, count(name) AS named, count(CASE WHEN complexity >= 4 THEN 1 END) AS usable FROM funcs",
         "known_sources": "SELECT source, source IN ('symtab', 'dynsym', 'eh_frame') AS known, count(*) AS n FROM funcs GROUP BY source",
         "trace_fingerprints": f"SELECT func_id AS trace_id, complexity, shingles, capped, sig_md5 FROM ({fingerprints('traces', 'trace_id')})",
+        "trace_shingle_sets": f"""
+            {fingerprints("traces", "trace_id").split("p(slot, a, b)")[0].rstrip().rstrip(",")}
+            SELECT func_id AS trace_id, count(*)::INTEGER AS n, md5(string_agg(v::VARCHAR, ',' ORDER BY v)) AS shingles_md5 FROM (SELECT func_id, {_i("x")} AS v FROM w JOIN g USING (g)) GROUP BY func_id""",
         "failed_fingerprints": fingerprints(_LOST),
         "streamed_fingerprints": f"SELECT func_id, complexity, capped, sig_md5 FROM ({fingerprints('(SELECT * FROM traces WHERE len(list_filter(effects, lambda x: x.seq IS NOT NULL)) > 0)')})",
         "index_from_traces": f"""

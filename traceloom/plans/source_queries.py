@@ -175,6 +175,13 @@ def trace_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fp.select("trace_id", "complexity", "shingles", "capped", _sig_md5())
 
 
+def trace_shingle_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Shingles of every trace that has effects, by column expressions; a digest of the sorted set."""
+    tokens = F.transform(E.in_order(F.col("effects")), E.token)
+    rows = _table(spark, sf, "traces").select("trace_id", F.array_sort(S.shingles(tokens)).alias("s")).where(F.size("s") > 0)
+    return rows.select("trace_id", F.size("s").alias("n"), F.md5(F.array_join("s", ",")).alias("shingles_md5"))
+
+
 def failed_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of the functions without a trace, taken as runs that couldn't be set up."""
     traced = _table(spark, sf, "traces").select(F.col("func_id").alias("id")).distinct()
