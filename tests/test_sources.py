@@ -168,7 +168,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     one, two = [func(1, 3, "f\x1b"), func(2, 999, "g"), func(3, 999, "h")], [func(1, 3, "f\x1b"), func(2, 3, "k", binary="z")]
     seeded = {"seed_ix": F.lit(0), "instret": F.lit(1)}
-    for name, rows, made in (("one", one, [(1, 1, BASE, False), (2, 2, BASE[:4], False), (3, 3, BASE, False)]), ("two", two, [(1, 1, BASE, False), (2, 2, UNRELATED, False)])):
+    for name, rows, made in (("one", one, [(1, 1, BASE, False), (2, 2, BASE[:4], False), (3, 3, UNRELATED, False)]), ("two", two, [(1, 1, BASE, False), (2, 2, UNRELATED, False)])):
         funcs(spark, rows).write.parquet(str(tmp_path / name / "functions"))
         traces(spark, made).withColumns(seeded).write.parquet(str(tmp_path / name / "traces"))
     at = lambda *x: str(tmp_path.joinpath(*x))
