@@ -116,6 +116,31 @@ def test_image_round_trip(spark, tmp_path):
     assert [r["name"] for r in image.rows(bytes(parts[0].image))] == ["f", "f"] and parts[0].functions == 2
 
 
+def test_images_of_a_partition_are_bounded(spark):
+    """A partition of any size gives images of a bounded size, in order and whole; so do rows with long texts."""
+    ids = spark.range(5000, numPartitions=1)
+    slots = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.xxhash64("id", i))
+    fields = {"binary": F.lit("b"), "name": F.concat(F.lit("f"), "id"), "entry": -F.col("id"), "source": F.lit("dynsym"), "complexity": F.lit(5), "shingles": F.col("id"), "capped": F.col("id") % 2 == 0, "sig": slots}
+    df = ids.select("id", *(x.alias(c) for c, x in fields.items()))
+    made = image.images(df).collect()
+    assert len(made) > 2 and [r.piece for r in made] == list(range(len(made))) and sum(r.functions for r in made) == 5000
+    assert max(len(r.image) for r in made) < 2 << 20
+    assert [f["name"] for r in made for f in image.rows(bytes(r.image))] == [f"f{i}" for i in range(5000)]
+    for back in (image.parse_images(image.images(df).select(F.col("image").alias("content"))), image.round_trip(df)):
+        assert back.drop("id").exceptAll(df.drop("id")).isEmpty() and back.count() == 5000
+    long = df.limit(20).withColumn("name", F.repeat(F.lit("x"), 1 << 20))
+    assert [r.functions for r in image.images(long.coalesce(1)).collect()] == [1] * 20
+
+
+def test_images_are_read_in_parts():
+    """The reader holds a bounded number of functions, whatever the image's size."""
+    whole = image.build([record(k) for k in range(1, 5001)])
+    sizes = [len(part) for part in image._read(whole)]
+    assert sum(sizes) == 5000 and max(sizes) <= 2000
+    long = image.build([record(k, name="x" * (1 << 20)) for k in range(1, 21)])
+    assert max(len(part) for part in image._read(long)) <= 8
+
+
 def test_bad_images():
     for bad in (b"", bytes.fromhex("deadbeef00010203"), b"SQLite format 3\0" + b"\1" * 600):
         with pytest.raises(image.BadImage):

@@ -118,8 +118,7 @@ def address_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def image_rows(spark: SparkSession, sf: str) -> DataFrame:
     """All rows of ``funcs`` written to images and read back, as an index of them shows them: every source is symtab."""
-    back = image.parse_images(materialize(image.images(_funcs(spark, sf)).select(F.col("image").alias("content")), "images"))
-    return index.as_index(back).select(*_FIELDS, _sig_md5())
+    return index.as_index(image.round_trip(_funcs(spark, sf))).select(*_FIELDS, _sig_md5())
 
 
 def corpus_rows(spark: SparkSession, sf: str) -> DataFrame:
